@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has no more than so many rows, counted here; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -113,3 +122,50 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(27))
     h = h * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+def shared_write(folder: str, name: str, array: np.ndarray) -> None:
+    """Write an array as a .npy file into a shared folder; a second try of the same task replaces it whole."""
+    if (local := _local(folder)) is not None:
+        os.makedirs(local, exist_ok=True)
+        part = f"{local}/.{name}.{uuid.uuid4().hex}"
+        with open(part, "wb") as out:
+            np.save(out, array)
+        os.replace(part, f"{local}/{name}.npy")
+        return
+    store, path = pa.fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    part = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out:
+        np.save(out, array)
+    store.move(part, f"{path}/{name}.npy")
+
+
+_fetched: dict[str, np.ndarray] = {}
+
+
+def shared_array(folder: str, name: str) -> np.ndarray | None:
+    """Map an array of a shared folder into memory; None where there is none.
+
+    A folder that isn't mounted is read through its file system into a temporary file first.
+    """
+    key = f"{folder}/{name}"
+    if key not in _fetched:
+        if (local := _local(folder)) is not None:
+            path = f"{local}/{name}.npy"
+            if not os.path.exists(path):
+                return None
+        else:
+            store, remote = pa.fs.FileSystem.from_uri(f"{key}.npy")
+            if store.get_file_info(remote).type == pa.fs.FileType.NotFound:
+                return None
+            with tempfile.NamedTemporaryFile(suffix=".npy", delete=False) as copy, store.open_input_stream(remote) as source:
+                shutil.copyfileobj(source, copy)
+            path = copy.name
+        _fetched[key] = np.load(path, mmap_mode="r")
+    return _fetched[key]
+
+
+def _local(folder: str) -> str | None:
+    parts = urlparse(folder)
+    return parts.path if parts.scheme in ("", "file") else None

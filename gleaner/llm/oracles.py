@@ -90,5 +90,56 @@ FROM documents AS d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
 
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6 = f"""
+WITH b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOW}, '{_LETTERS}') AS words FROM benchmark
+), w AS (
+  SELECT DISTINCT item, size, words[i : i + size - 1] AS grams
+  FROM (SELECT item, words, least(10, len(words)) AS size, unnest(generate_series(1, len(words) - least(10, len(words)) + 1)) AS i FROM b WHERE len(words) > 0)
+), d AS (
+  SELECT doc_id, regexp_extract_all({_LOW}, '{_LETTERS}') AS words FROM documents
+), p AS (
+  SELECT doc_id, words, unnest(generate_series(1, len(words))) AS i FROM d
+), m AS (
+  SELECT p.doc_id, p.i, w.size, w.item
+  FROM (SELECT DISTINCT size FROM w) AS s JOIN p ON p.i + s.size - 1 <= len(p.words) JOIN w ON w.size = s.size AND w.grams = p.words[p.i : p.i + s.size - 1]
+), h AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS pos FROM m) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+_WORDS = f"regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+')"
+
+OP10 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_WORDS} AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 4))) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, ways.b FROM reach AS r JOIN ways ON ways.a = r.b
+), c AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1, "op2_mixing": OP2, "op8_secret_scan": OP8}
+    return {"op1_exact_topk": OP1, "op2_mixing": OP2, "op6_decontamination": OP6, "op8_secret_scan": OP8, "op10_near_duplicates": OP10}
