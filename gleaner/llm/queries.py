@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, mixing, near_duplicates, ngram_lm, secrets, sharding, token_output, topk_search
+from gleaner.llm import decontamination, language_id, mixing, near_duplicates, ngram_lm, quality, secrets, sharding, token_output, topk_search
 from gleaner.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.train_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.col("items")
@@ -43,10 +47,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.written(spans, list(secrets.BASE)), 256).alias("base_sha256"), secrets.written(spans, secrets.KINDS).alias("spans"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = (op1_exact_topk, op2_mixing, op3_sharding, op4_ngram_lm, op6_decontamination, op7_token_output, op8_secret_scan, op10_near_duplicates)
+    found = (op1_exact_topk, op2_mixing, op3_sharding, op4_ngram_lm, op5_language_id, op6_decontamination, op7_token_output, op8_secret_scan, op9_quality, op10_near_duplicates)
     return {f.__name__: f for f in found}
