@@ -11,18 +11,35 @@ from gleaner.functions.vectors import TINY, norm
 
 
 def counted(buckets: Column, dim: int) -> Column:
-    """How often each of 0..dim-1 is in an array of bucket numbers: one pass over the array, kept as a map,
-    then a dense array."""
-    ordered = F.array_sort(buckets)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(ordered, lambda b: b == k)).cast("double"))
+    """How often each of 0..dim-1 is in an array of bucket numbers; for few buckets."""
+    return _bound(buckets, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(all_, lambda b: b == k)).cast("double")))
+
+
+def dense(entries: Column, dim: int) -> Column:
+    """An array of doubles from entries (bucket, weight) of different buckets: zeros fill the gaps."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    def filled(e: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(e, i - 1)["bucket"]).otherwise(-1)
+        parts = F.flatten(F.transform(e, lambda x, i: F.concat(zeros(x["bucket"] - before(i) - 1), F.array(x["weight"]))))
+        last = F.when(F.size(e) > 0, F.element_at(e, -1)["bucket"]).otherwise(-1)
+        return F.concat(parts, zeros(F.lit(dim - 1) - last))
+
+    return _bound(F.array_sort(entries), filled)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once: lambdas inside would compute it for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def ngram_buckets(text: Column, features: int = 500, sizes: Sequence[int] = (3, 4, 5)) -> Column:
     """crc32 modulo features of every byte n-gram of the lower-cased text."""
-    data = F.encode(F.lower(text), "UTF-8")
-    n = F.octet_length(data)
-    grams = [F.when(n >= s, F.transform(F.sequence(F.lit(1), n - (s - 1)), lambda i, s=s: (F.crc32(F.substring(data, i, F.lit(s))) % features).cast("int"))).otherwise(F.array().cast("array<int>")) for s in sizes]
-    return F.concat(*grams)
+    def grams(data: Column) -> Column:
+        n = F.octet_length(data)
+        found = [F.when(n >= s, F.transform(F.sequence(F.lit(1), F.greatest(n - (s - 1), F.lit(1))), lambda i, s=s: (F.crc32(F.substring(data, i, F.lit(s))) % features).cast("int"))).otherwise(F.array().cast("array<int>")) for s in sizes]
+        return F.concat(*found)
+
+    return _bound(F.encode(F.lower(text), "UTF-8"), grams)
 
 
 def code_points(text: Column, dim: int) -> Column:

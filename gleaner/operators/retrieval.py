@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import counted, ngram_buckets, normalised
+from gleaner.functions.text import dense, ngram_buckets
 from gleaner.functions.vectors import cosine, doubles, relevance
 from gleaner.operators import kernels
 from gleaner.session import ship
@@ -22,11 +22,6 @@ def cosine_top(corpus: DataFrame, query: Column, n: int, *, id_col: str = "id",
     return corpus.select(F.col(id_col).alias("id"), cosine(doubles(F.col(vector)), query).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(n)
 
 
-def text_vectors(docs: DataFrame, text: str = "text", features: int = 500) -> DataFrame:
-    """docs with vector, the normalised counts of hashed byte n-grams of the text."""
-    return docs.withColumn("vector", normalised(counted(ngram_buckets(F.col(text), features), features)))
-
-
 def sparse_text_vectors(docs: DataFrame, id_col: str, text: str = "text", features: int = 500) -> DataFrame:
     """(id, bucket, weight) without zeros: the same vectors as rows, for joins and for long vectors."""
     rows = docs.select(F.col(id_col).alias("id"), F.explode(ngram_buckets(F.col(text), features)).alias("bucket")).groupBy("id", "bucket").agg(F.count("*").cast("double").alias("n"))
@@ -34,6 +29,13 @@ def sparse_text_vectors(docs: DataFrame, id_col: str, text: str = "text", featur
     return rows.join(norms, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("weight"))
 
 
+def text_vectors(docs: DataFrame, id_col: str, text: str = "text", features: int = 500) -> DataFrame:
+    """docs with vector, the normalised counts of hashed byte n-grams of the text; zeros for a short text."""
+    rows = sparse_text_vectors(docs, id_col, text, features).groupBy("id").agg(F.collect_list(F.struct("bucket", "weight")).alias("entries"))
+    vector = dense(F.coalesce("entries", F.array().cast("array<struct<bucket:int,weight:double>>")), features)
+    return docs.join(rows.withColumnRenamed("id", "gleaner_id"), F.col(id_col) == F.col("gleaner_id"), "left").withColumn("vector", vector).drop("gleaner_id", "entries")
+
+
 def adapted_beta(concentration: float, low: float = 0.1, high: float = 0.8, *, diverse_when_spread: bool = True) -> float:
     """The weight of diversity for a concentration of relevance: more of it for spread queries, or, for the
     router's synergy, more of it for focused ones."""
@@ -111,9 +113,9 @@ def search_and_rerank(corpus: DataFrame, query: Column, n: int, k: int, *, id_co
 
 def compressed(docs: DataFrame, query: str, k: int, *, id_col: str = "id", text: str = "text", n: int = 200, **options) -> DataFrame:
     """The k documents of a result that serve a query text, by hashed n-gram vectors."""
-    asked = docs.sparkSession.range(1).select(F.lit(query).alias("text"))
-    q = text_vectors(asked).select(F.col("vector").alias("q"))
-    rows = text_vectors(docs, text).crossJoin(F.broadcast(q)).select(F.lit(0).alias("query"), F.col(id_col).alias("id"), F.col("vector").alias("v"), F.greatest(cosine(F.col("vector"), F.col("q")), F.lit(0.0)).alias("relevance"))
+    asked = docs.sparkSession.range(1).select("id", F.lit(query).alias("text"))
+    q = text_vectors(asked, "id").select(F.col("vector").alias("q"))
+    rows = text_vectors(docs.select(id_col, text), id_col, text).crossJoin(F.broadcast(q)).select(F.lit(0).alias("query"), F.col(id_col).alias("id"), F.col("vector").alias("v"), F.greatest(cosine(F.col("vector"), F.col("q")), F.lit(0.0)).alias("relevance"))
     return rerank(rows.orderBy(F.desc("relevance"), "id").limit(n), k, **options)
 
 
