@@ -34,12 +34,12 @@ def _bound(value: Column, use) -> Column:
 
 def ngram_buckets(text: Column, features: int = 500, sizes: Sequence[int] = (3, 4, 5)) -> Column:
     """crc32 modulo features of every byte n-gram of the lower-cased text."""
-    def grams(data: Column) -> Column:
-        n = F.octet_length(data)
-        found = [F.when(n >= s, F.transform(F.sequence(F.lit(1), F.greatest(n - (s - 1), F.lit(1))), lambda i, s=s: (F.crc32(F.substring(data, i, F.lit(s))) % features).cast("int"))).otherwise(F.array().cast("array<int>")) for s in sizes]
-        return F.concat(*found)
+    def of_size(data: Column, size: int) -> Column:
+        begins = F.octet_length(data) - (size - 1)
+        found = F.transform(F.sequence(F.lit(1), F.greatest(begins, F.lit(1))), lambda i: (F.crc32(F.substring(data, i, F.lit(size))) % features).cast("int"))
+        return F.when(begins > 0, found).otherwise(F.array().cast("array<int>"))
 
-    return _bound(F.encode(F.lower(text), "UTF-8"), grams)
+    return _bound(F.encode(F.lower(text), "UTF-8"), lambda data: F.concat(*[of_size(data, n) for n in sizes]))
 
 
 def code_points(text: Column, dim: int) -> Column:
