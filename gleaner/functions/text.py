@@ -47,6 +47,18 @@ def code_points(text: Column, dim: int) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: (F.ascii(c) % dim).cast("int"))
 
 
+def character_counts(text: Column, dim: int) -> Column:
+    """How many characters have each code point modulo dim: every different character is counted once, by what
+    the text loses without it."""
+    def counts(t: Column) -> Column:
+        different = F.array_distinct(F.filter(F.split(t, ""), lambda c: c != ""))
+        each = F.transform(different, lambda c: F.struct((F.ascii(c) % dim).alias("bucket"), (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("double").alias("n")))
+        total = lambda e, k: F.aggregate(e, F.lit(0.0), lambda a, x: a + F.when(x["bucket"] == k, x["n"]).otherwise(0.0))
+        return _bound(each, lambda e: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: total(e, k)))
+
+    return _bound(text, counts)
+
+
 def normalised(counts: Column, *, floor: float = TINY, add: float = 0.0) -> Column:
     n = F.greatest(norm(counts), F.lit(floor)) if not add else norm(counts) + F.lit(add)
     return F.transform(counts, lambda x: x / n)

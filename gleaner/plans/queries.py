@@ -622,7 +622,7 @@ def cache_keys(spark, d):
 @query("""WITH v AS (SELECT doc_id, text, unnest([0, 1, 2, 3]) AS k FROM documents), c AS (SELECT doc_id, k, len(list_filter(string_split(text, ''), lambda x: unicode(x) % 4 = k))::DOUBLE AS n FROM v)
 SELECT doc_id, round(max(n) FILTER (k = 0) / greatest(sqrt(sum(n * n)), 1e-10), 6) AS a, round(max(n) FILTER (k = 3) / greatest(sqrt(sum(n * n)), 1e-10), 6) AS b FROM c GROUP BY 1""")
 def character_vectors(spark, d):
-    v = text.normalised(text.counted(text.code_points(F.col("text"), 4), 4))
+    v = text.normalised(text.character_counts(F.col("text"), 4))
     return t(spark, d, "documents").select("doc_id", v.alias("v")).select("doc_id", r6(F.get("v", F.lit(0))).alias("a"), r6(F.get("v", F.lit(3))).alias("b"))
 
 
