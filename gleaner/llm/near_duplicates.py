@@ -12,8 +12,10 @@ about once in a hundred thousand. What passes is confirmed on the full sets.
 
 Only connections count, so a node of any size is first compared to one of its members: confirmed links to it
 join the bulk of a group of near copies. Then only members outside the bulk's component are compared, with all
-members of the node that are of other components, in tiles of bounded size. So large groups of alike texts
-take time in proportion to their size, and no pair is dropped.
+members of the node that are of other components, in tiles of bounded size. A tile confirms its candidates
+itself, closest first, with sets that it maps from files in the shared folder, and skips a pair that its links
+have connected meanwhile. It returns fewer links than it has members, so no candidate pair is ever shuffled,
+and none is dropped.
 
 Cases: texts without words, and null texts, have the empty set and are alone. A text of fewer than five words
 is one shingle. Rows that repeat an id are rows of their own; null ids never give a component its name unless
@@ -23,6 +25,7 @@ no member has another. Empty tables give no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded, mix64, slices, stash, words_of
+from gleaner.llm.common import bounded, mix64, scratch_path, shared_array, shared_write, slices, stash, words_of
 from gleaner.llm.components import components
 from gleaner.session import ship
 
@@ -44,9 +47,15 @@ TOKENS, CHOICES = 128, 32
 #: Standard deviations between a sketch's expected and least agreement.
 SIGMAS = 4.5
 #: Pairs that a node may compare without branching again, branches of a larger one, and levels.
-NODE_PAIRS, BRANCHES, LEVELS = 1 << 18, 3, 3
+NODE_PAIRS, BRANCHES, LEVELS = 1 << 25, 3, 3
+#: Trees that are compared first.
+FIRST_TREES = 2
 #: Members on either side of a tile.
 TILE = 2048
+#: Candidate pairs of a tile from which a matrix may count intersections, and the operations it may take for each.
+MATRIX_PAIRS, MATRIX_FLOPS_A_PAIR = 20_000, 200_000
+#: Shingles in a file of sets.
+SET_VALUES = 4_000_000
 #: Ids that are broadcast at most (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -127,45 +136,165 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("cid"), lists], ["cid", "shingles"]).filter(pa.array(right, pa.bool_()))
 
 
-def _tiles(limit: int):
-    """Pairs of one tile whose sketches differ in few bits and whose components differ.
+def _store_sets(folder: str):
+    """Write the wanted sets into files of the shared folder; return where each set lies.
 
-    Rows come sorted by tile; those that ask are compared with those that are stored.
+    A file belongs to one try of one task, so a second try never changes what the first one's rows point at.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, at = [], [], 0
+        for batch in batches:
+            for part in _sets([batch]):
+                lists = part.column("shingles")
+                starts, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+                held.append(values[starts[0] : starts[-1]])
+                rows.append((part.column("cid").to_numpy(), at + starts[:-1] - starts[0], at + starts[1:] - starts[0]))
+                at += int(starts[-1] - starts[0])
+                if at > SET_VALUES:
+                    yield flush(held, rows)
+                    held, rows, at = [], [], 0
+        if rows:
+            yield flush(held, rows)
+
+    def flush(held: list, rows: list) -> pa.RecordBatch:
+        name = f"sets-{uuid.uuid4().hex}"
+        shared_write(folder, name, np.concatenate(held))
+        cid, start, stop = (np.concatenate(x) for x in zip(*rows, strict=True))
+        return pa.record_batch([pa.array(cid), pa.array([name] * len(cid)), pa.array(start), pa.array(stop)], ["cid", "file", "start", "stop"])
+
+    return run
+
+
+class _Tile:
+    """The members of one tile: those that ask, and those that are stored."""
+
+    def __init__(self, rows: dict[str, np.ndarray], limit: int):
         asks = rows["asks"]
-        q, s = {k: v[asks] for k, v in rows.items()}, {k: v[~asks] for k, v in rows.items()}
-        found = [(np.zeros(0, np.int64),) * 2]
+        self.q, self.s = {k: v[asks] for k, v in rows.items()}, {k: v[~asks] for k, v in rows.items()}
+        self.limit = limit
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """For each that asks, the stored of other components whose sketches are close, closest first."""
+        q, s = self.q, self.s
         step = max(1, (1 << 20) // max(len(s["cid"]), 1))
         for at in range(0, len(q["cid"]), step):
-            part = {k: v[at : at + step, None] for k, v in q.items()}
-            apart = np.bitwise_count(part["b0"] ^ s["b0"]) + np.bitwise_count(part["b1"] ^ s["b1"])
-            i, j = np.nonzero((apart <= limit) & (part["comp"] != s["comp"]))
-            found.append((part["cid"][i, 0], s["cid"][j]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            apart = np.bitwise_count(q["b0"][at : at + step, None] ^ s["b0"]) + np.bitwise_count(q["b1"][at : at + step, None] ^ s["b1"])
+            close = (apart <= self.limit) & (q["comp"][at : at + step, None] != s["comp"])
+            for i in np.flatnonzero(close.any(axis=1)).tolist():
+                there = np.flatnonzero(close[i])
+                yield at + i, there[np.argsort(apart[i, there], kind="stable")]
+
+    def close_ones(self) -> np.ndarray:
+        found = [np.zeros(0, np.int64)]
+        for i, there in self.candidates():
+            found += [self.q["cid"][i : i + 1], self.s["cid"][there]]
+        return np.unique(np.concatenate(found))
+
+    def links(self, folder: str, percent: int) -> list[tuple[int, int]]:
+        """Confirmed links, without those between members that others have connected already."""
+        q, s = self.q, self.s
+        self.percent = percent
+        names, label = np.unique(np.concatenate((q["comp"], s["comp"])), return_inverse=True)
+        self.own, self.label = label[: len(q["comp"])], label[len(q["comp"]) :]
+        self.root = np.arange(len(names))
+        self.set_of = lambda side, i: shared_array(folder, side["file"][i])[side["start"][i] : side["stop"][i]].view(np.uint64)
+        close = list(self.candidates())
+        if sum(len(there) for _, there in close) > MATRIX_PAIRS and (found := self._by_matrix(close)) is not None:
+            return found
+        return self._by_pairs(close)
+
+    def _join(self, i: int, j: int) -> list[tuple[int, int]]:
+        """Connect two members; the link, unless they are connected."""
+        a, b = self.root[self.own[i]], self.root[self.label[j]]
+        if a == b:
+            return []
+        self.root[self.root == b] = a
+        return [(int(self.q["cid"][i]), int(self.s["cid"][j]))]
+
+    def _by_pairs(self, close: list) -> list[tuple[int, int]]:
+        """Compare each that asks with its candidates, closest first, and stop when all are connected."""
+        found, s, percent = [], self.s, self.percent
+        for i, there in close:
+            mine = self.set_of(self.q, i)
+            n = s["stop"][there] - s["start"][there]
+            there = there[100 * np.minimum(n, len(mine)) >= percent * np.maximum(n, len(mine))]
+            size = 4
+            while len(there := there[self.root[self.label[there]] != self.root[self.own[i]]]):
+                now, there, size = there[:size], there[size:], min(4 * size, 256)
+                sets = [self.set_of(s, j) for j in now.tolist()]
+                values, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+                at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+                shared = np.add.reduceat((mine[at] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+                for j in now[100 * shared >= percent * (sizes + len(mine) - shared)].tolist():
+                    found += self._join(i, j)
+        return found
+
+    def _by_matrix(self, close: list) -> list[tuple[int, int]] | None:
+        """Intersections of all that have candidates, from an incidence matrix: shingles that few have are
+        counted by their pairs, the others by a product of dense blocks. None if that costs more than pairs."""
+        s, pairs = self.s, sum(len(there) for _, there in close)
+        asks = np.array([i for i, _ in close])
+        stored = np.unique(np.concatenate([there for _, there in close]))
+        sets = [self.set_of(self.q, i) for i in asks.tolist()] + [self.set_of(s, j) for j in stored.tolist()]
+        sizes = np.array([len(x) for x in sets])
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        member = np.repeat(np.arange(len(sets)), sizes)
+        is_ask = member < len(asks)
+        degree_q, degree_s = np.bincount(column[is_ask], minlength=column.max() + 1), np.bincount(column[~is_ask], minlength=column.max() + 1)
+        common = np.minimum(degree_q, degree_s) > 0
+        often = common & (degree_q * degree_s > 256)
+        if 2.0 * len(asks) * len(stored) * often.sum() > MATRIX_FLOPS_A_PAIR * pairs:
+            return None
+        shared = np.zeros((len(asks), len(stored)), np.float32)
+        for some in np.array_split(np.flatnonzero(often), max(1, often.sum() // 2048)):
+            place = np.full(len(common), -1)
+            place[some] = np.arange(len(some))
+            block = np.zeros((len(sets), len(some)), np.float32)
+            here = place[column] >= 0
+            block[member[here], place[column[here]]] = 1
+            shared += block[: len(asks)] @ block[len(asks) :].T
+        few = (common & ~often)[column]
+        a, b = np.flatnonzero(few & is_ask), np.flatnonzero(few & ~is_ask)
+        a, b = a[np.argsort(column[a], kind="stable")], b[np.argsort(column[b], kind="stable")]
+        first = np.searchsorted(column[b], column[a])
+        count = degree_s[column[a]]
+        for at in range(0, len(a), 1 << 18):
+            c = count[at : at + (1 << 18)]
+            nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            flat = np.repeat(member[a[at : at + (1 << 18)]], c) * len(stored) + member[b[np.repeat(first[at : at + (1 << 18)], c) + nth]] - len(asks)
+            shared += np.bincount(flat, minlength=shared.size).reshape(shared.shape).astype(np.float32)
+        shared = shared.astype(np.int64)
+        linked = 100 * shared >= self.percent * (sizes[: len(asks), None] + sizes[None, len(asks) :] - shared)
+        found = []
+        for row, i in zip(linked, asks.tolist(), strict=True):
+            for j in stored[row].tolist():
+                found += self._join(i, j)
+        return found
+
+
+def _by_tile(answer, schema: pa.Schema):
+    """Collect the rows of each tile, which come one after the other, and give what answer makes of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("tile", "asks", "cid", "comp")} | {n: batch.column(n).to_numpy().view(np.uint64) for n in ("b0", "b1")}
+            rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+            rows |= {n: rows[n].view(np.uint64) for n in ("b0", "b1")}
             if held:
-                rows = {k: np.concatenate((held[0][k], v)) for k, v in rows.items()}
-            cuts = np.flatnonzero(np.diff(rows["tile"])) + 1
-            held = [{k: v[cuts[-1] if len(cuts) else 0 :] for k, v in rows.items()}]  # the last tile may go on
-            yield from emit(rows, np.concatenate(([0], cuts)))
+                rows = {k: np.concatenate((held[k], v)) for k, v in rows.items()}
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(rows["tile"])) + 1))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield from made(rows, a, b)
+            held = {k: v[cuts[-1] :] for k, v in rows.items()}  # the last tile may go on
         if held:
-            yield from emit(held[0], np.array([0, len(held[0]["tile"])]))
+            yield from made(held, 0, len(held["tile"]))
 
-    def emit(rows: dict[str, np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs = [compare({k: v[a:b] for k, v in rows.items()}) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        if pairs:
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            if len(a):
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+    def made(rows: dict[str, np.ndarray], a: int, b: int) -> Iterator[pa.RecordBatch]:
+        if len(found := answer({k: v[a:b] for k, v in rows.items()})):
+            yield pa.record_batch([pa.array(c) for c in zip(*found, strict=True)], schema=schema)
 
     return run
 
@@ -195,11 +324,14 @@ class Join:
         classes = self.rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "tokens")])
         self.classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    def sets(self, cids: DataFrame) -> DataFrame:
-        """cid and shingles of some classes, from the text of one document of each."""
+    def texts(self, cids: DataFrame) -> DataFrame:
+        """cid, digest and text of one document, or more that repeat its id, of some classes."""
         wanted = stash(self.classes.join(cids.select("cid").distinct(), "cid").select("cid", "digest", F.col("rep").alias("wanted")), "wanted")
-        texts = self.docs.join(bounded(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("cid", "digest", "text")
-        return stash(texts.mapInArrow(_sets, "cid long, shingles array<long>").dropDuplicates(["cid"]), "sets")
+        return self.docs.join(bounded(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("cid", "digest", "text")
+
+    def sets(self, cids: DataFrame) -> DataFrame:
+        """cid and shingles of some classes."""
+        return stash(self.texts(cids).mapInArrow(_sets, "cid long, shingles array<long>").dropDuplicates(["cid"]), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) of classes whose full sets are alike enough."""
@@ -216,7 +348,7 @@ class Join:
     def roots(self) -> DataFrame:
         """node, cid, b0, b1: the members of the trees' first nodes, where there are two or more."""
         trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees(self.percent, self.recall) - 1)))
-        rows = self.classes.select("cid", "b0", "b1", "tokens", trees.alias("tree")).select(F.xxhash64("tree", F.element_at("tokens", F.col("tree") + 1)).alias("node"), "cid", "b0", "b1")
+        rows = self.classes.select("cid", "b0", "b1", "tokens", trees.alias("tree")).select(F.xxhash64("tree", F.element_at("tokens", F.col("tree") + 1)).alias("node"), "tree", "cid", "b0", "b1")
         return self.crowded(rows)
 
     def crowded(self, rows: DataFrame) -> DataFrame:
@@ -231,7 +363,8 @@ class Join:
         return self.confirmed(pairs.select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
 
     def across(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """Confirmed links between members of a node that labels (vertex, label) puts in different components."""
+        """Confirmed links (a, b) that connect members of a node that labels (vertex, label) puts in different
+        components."""
         label = lambda rows, col, name: rows.join(labels.toDF(col, name), col, "left").withColumn(name, F.coalesce(name, col))
         found, level = None, 1
         rows = label(label(nodes.select("node", "cid", "b0", "b1", "pivot"), "cid", "comp"), "pivot", "bulk")
@@ -244,7 +377,7 @@ class Join:
             found = tiles if found is None else found.unionByName(tiles)
             rows = rows.filter(large)
             if level == LEVELS or rows.isEmpty():
-                return self.confirmed(stash(found.distinct(), "candidates"))
+                return self.linked(stash(found, "tiles"))
             level += 1
             branch = F.explode(F.sequence(F.lit(1), F.lit(BRANCHES)))
             chosen = F.element_at("tokens", (F.pmod(F.xxhash64("node", "branch"), F.lit(CHOICES)) + 1).cast("int"))
@@ -253,24 +386,39 @@ class Join:
             rows = deeper.join(deeper.groupBy("node").agg(F.min(F.struct("cid", "comp")).alias("p")).select("node", F.col("p.comp").alias("bulk")), "node")
 
     def tiled(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs of members outside the bulk with all others of their node."""
+        """Members outside the bulk, who ask, and all others, who are stored, dealt to tiles of bounded size."""
         n_out, n_all = F.ceil(F.col("out") / TILE), F.ceil(F.col("m") / TILE)
         block = lambda n: F.pmod(F.xxhash64("cid"), n)
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         side = ["cid", "comp", "b0", "b1"]
         stored = rows.select("node", F.lit(False).alias("asks"), *side, every(n_out).alias("i"), block(n_all).alias("j"))
         asking = rows.filter("asks").select("node", F.lit(True).alias("asks"), *side, block(n_out).alias("i"), every(n_all).alias("j"))
-        tiles = stored.unionByName(asking).select(F.xxhash64("node", "i", "j").alias("tile"), "asks", *side)
-        return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(_most_apart(self.percent)), "a long, b long")
+        return stored.unionByName(asking).select(F.xxhash64("node", "i", "j").alias("tile"), "asks", *side)
+
+    def linked(self, tiles: DataFrame) -> DataFrame:
+        """Links found in tiles: first which members have a close one, then, with their sets, the links."""
+        limit, percent = _most_apart(self.percent), self.percent
+        dealt = lambda rows: rows.repartition("tile").sortWithinPartitions("tile")
+        close = dealt(tiles).mapInArrow(_by_tile(lambda rows: [(c,) for c in _Tile(rows, limit).close_ones().tolist()], pa.schema([("cid", pa.int64())])), "cid long")
+        close = stash(close.distinct(), "close")
+        if close.isEmpty():
+            return self.spark.createDataFrame([], "a long, b long")
+        folder = scratch_path(self.spark, "sets")
+        places = self.texts(close).mapInArrow(_store_sets(folder), "cid long, file string, start long, stop long")
+        places = stash(places.dropDuplicates(["cid"]), "places")
+        links = dealt(tiles.join(places, "cid")).mapInArrow(_by_tile(lambda rows: _Tile(rows, limit).links(folder, percent), pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
+        return stash(links, "links")
 
     def components(self) -> DataFrame:
         """cid and comp, the least document id of its component, of every class."""
         nodes = self.roots()
         links = self.stars(nodes)
         labels = components(links)
-        more = self.across(nodes, labels)
-        if not more.isEmpty():
-            labels = components(labels.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionByName(more))
+        # what the first trees connect, the others needn't compare again
+        for some in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
+            more = self.across(nodes.filter(some), labels)
+            if not more.isEmpty():
+                labels = components(labels.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionByName(more))
         joined = self.classes.select("cid", "rep", "digest").join(labels.withColumnRenamed("vertex", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         names = joined.groupBy("label").agg(F.min("rep").alias("name"))
         return joined.join(names, "label").select("digest", F.col("name").alias("component_id"))

@@ -322,7 +322,9 @@ def test_matrix_equals_pairs(seed, monkeypatch):
     assert got[0] == got[1] == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "TASK_LINKS", limit)
     pairs = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 100), (7, 7), (200, 100)]
     got = {r["vertex"]: r["label"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100, 200: 100}
