@@ -94,3 +94,24 @@ def tiers(df: DataFrame, score: str, threshold: float = 0.7) -> DataFrame:
     place = (F.col(score) - F.col("gleaner_lo")) / (F.col("gleaner_hi") - F.col("gleaner_lo"))
     tier = F.when(F.col("gleaner_hi") - F.col("gleaner_lo") < 1e-12, "normal").when(place >= threshold, "critical").when(place >= threshold / 2, "normal").otherwise("background")
     return df.crossJoin(F.broadcast(span)).withColumn("tier", tier).drop("gleaner_lo", "gleaner_hi")
+
+
+def convergence_thresholds(history: DataFrame, *, bins: int = 20, steps: int = 15, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """One row (t1, t2, t3, score) for history (complexity, converged): the three thresholds that part the bins
+    into regions of the highest mean convergence rate; regions without observations don't count.
+
+    Rates are (converged + 1) / (all + 2). Bins count over 0 to 1, but their centers, which the thresholds part,
+    lie between low and high. The first of equal triples wins.
+    """
+    spark = history.sparkSession
+    place = F.least(F.floor(F.col("complexity") * bins), F.lit(bins - 1))
+    counts = history.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.count_if("converged").alias("good"))
+    center = low + F.col("bin") * ((high - low) / (bins - 1))
+    counts = counts.select(center.alias("center"), "n", (F.col("n") * (F.col("good") + 1) / (F.col("n") + 2)).alias("weighted"))
+    at = lambda name: spark.range(steps).select(F.col("id").alias(f"{name}_i"), (low + F.col("id") * ((high - low) / (steps - 1))).alias(name))
+    triples = at("t1").join(F.broadcast(at("t2")), F.col("t1_i") < F.col("t2_i")).join(F.broadcast(at("t3")), F.col("t2_i") < F.col("t3_i"))
+    region = F.when(F.col("center") < F.col("t1"), 0).when(F.col("center") < F.col("t2"), 1).when(F.col("center") < F.col("t3"), 2).otherwise(3)
+    keys = ["t1_i", "t2_i", "t3_i", "t1", "t2", "t3"]
+    regions = triples.crossJoin(F.broadcast(counts)).groupBy(*keys, region.alias("region")).agg((F.sum("weighted") / F.sum("n")).alias("rate"))
+    scores = regions.groupBy(*keys).agg(F.round(F.avg("rate"), 9).alias("score"))
+    return scores.orderBy(F.desc("score"), "t1_i", "t2_i", "t3_i").limit(1).select("t1", "t2", "t3", "score")

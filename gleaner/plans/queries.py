@@ -852,3 +852,19 @@ def fused_senses(spark, d):
     """A weighted mean of channels by position, over a fixed total weight."""
     w = F.when(F.col("user_id") % 3 == 0, 0.5).when(F.col("user_id") % 3 == 1, 0.3).otherwise(0.2)
     return t(spark, d, "events").groupBy((F.col("user_id") % 5).alias("pos")).agg(F.round(F.sum(w * F.col("value")) / 2.0, 4).alias("v"))
+
+
+@query("""WITH h AS (SELECT CAST(least(floor((event_id % 101) / 100 * 20), 19) AS BIGINT) AS bin, value > 40 + event_id % 101 AS ok FROM events), b AS (SELECT 0.1::DOUBLE + bin * ((0.9::DOUBLE - 0.1::DOUBLE) / 19) AS c, count(*) AS n, count(*) * (count_if(ok) + 1) / (count(*) + 2) AS w FROM h GROUP BY bin),
+s AS (SELECT i, 0.1::DOUBLE + i * ((0.9::DOUBLE - 0.1::DOUBLE) / 14) AS t FROM range(15) AS g(i)), r AS (SELECT x.i AS i, y.i AS j, z.i AS k, x.t AS t1, y.t AS t2, z.t AS t3, sum(w) / sum(n) AS rate FROM s AS x JOIN s AS y ON x.i < y.i JOIN s AS z ON y.i < z.i CROSS JOIN b
+  GROUP BY 1, 2, 3, 4, 5, 6, CASE WHEN c < x.t THEN 0 WHEN c < y.t THEN 1 WHEN c < z.t THEN 2 ELSE 3 END), a AS (SELECT i, j, k, t1, t2, t3, round(avg(rate), 9) AS score FROM r GROUP BY 1, 2, 3, 4, 5, 6)
+SELECT round(t1, 6) AS t1, round(t2, 6) AS t2, round(t3, 6) AS t3, round(score, 6) AS score FROM a ORDER BY a.score DESC, i, j, k LIMIT 1""")
+def convergence_thresholds(spark, d):
+    events = t(spark, d, "events").select((F.col("event_id") % 101 / 100).alias("complexity"), (F.col("value") > 40 + F.col("event_id") % 101).alias("converged"))
+    return profile.convergence_thresholds(events).select(*[r6(c).alias(c) for c in ("t1", "t2", "t3", "score")])
+
+
+@query("SELECT vec_id, json_object('id', vec_id, 'label', label) AS record, coalesce(label, 1) AS label FROM embeddings")
+def pattern_records(spark, d):
+    """Rows to JSON and back, with a default for what is missing."""
+    rows = t(spark, d, "embeddings").select("vec_id", F.to_json(F.struct(F.col("vec_id").alias("id"), "label")).alias("record"))
+    return rows.select("vec_id", "record", F.coalesce(F.from_json("record", "id long, label int")["label"], F.lit(1)).alias("label"))
