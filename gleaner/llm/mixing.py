@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import WORD, stash, uniform
+from gleaner.llm.common import WORD, bounded, stash, uniform
 from gleaner.llm.ranking import BUCKET_ROWS, sum_before
 
 WEIGHTS = (5, 2, 1)
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, max_epochs: int
     plan = source_targets(totals.select(*src, "source_size"), weights, max_epochs).join(totals.drop("source_size"), src)
     later = sum((F.col(f"g{g}") * F.exp(-F.col("key") * g / GRADES) for g in range(1, GRADES + 1)), F.lit(0.0)) / F.col("n")
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
-    rows = rows.join(plan, src).withColumn("bucket", F.least(F.floor((1 - later) * buckets), buckets - 1))
+    rows = rows.join(bounded(plan), src).withColumn("bucket", F.least(F.floor((1 - later) * buckets), buckets - 1))
     rows = sum_before(rows, src, "bucket", [F.col("key"), F.col("tie"), F.col("size")], F.col("size"), "before")
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that a bucket has on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def sum_before(df: DataFrame, group: list[str], bucket: str, order: list[Column], amount: Column, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stash, uniform
+from gleaner.llm.common import bounded, stash, uniform
 from gleaner.llm.ranking import BUCKET_ROWS, sum_before
 
 SHARDS = 24
@@ -43,7 +43,7 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED) -> DataFra
     totals = stash(rows.groupBy(*src).agg(F.count("*").alias("n")), "shard-sources")
     n = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
-    rows = rows.join(totals, src).withColumn("bucket", F.least(F.floor(F.col("u") * buckets), buckets - 1))
+    rows = rows.join(bounded(totals), src).withColumn("bucket", F.least(F.floor(F.col("u") * buckets), buckets - 1))
     rows = sum_before(rows, src, "bucket", [F.col("u"), F.col("doc_id"), F.col("tie")], one, "rank")
     rows = rows.withColumn("place", (F.col("rank") + 0.5) / F.col("n"))
     cells = max(1, math.ceil(n / BUCKET_ROWS))
