@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import scratch_path, slices, split_words
+from gleaner.llm.common import bounded, scratch_path, slices, split_words
 from gleaner.session import ship
 
 END_ID = 1
@@ -170,7 +170,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
     firsts = sums.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return rows.join(firsts, F.col("part") == F.col("p")).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return rows.join(bounded(firsts, 1_000_000), F.col("part") == F.col("p")).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
