@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import bounded, mix64, scratch_path, shared_array, shared_write, slices, stash, words_of
@@ -99,8 +99,8 @@ def minwise(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix64(out)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-_SKETCH_TYPES = "doc_id long, digest binary, n long, b0 long, b1 long, tokens array<int>"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("digest", pa.binary()), ("n", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+_SKETCH_TYPES = "doc_id long, text_key binary, digest binary, n long, b0 long, b1 long, tokens array<int>"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lows = (values[64 * half : 64 * half + 64] & np.uint64(1)) << np.arange(64, dtype=np.uint64)[:, None]
                     bits[half, some] = np.bitwise_or.reduce(lows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * CHOICES, pa.int32()), pa.array(tokens.ravel()))
-            yield pa.record_batch([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int64)), *[pa.array(b.view(np.int64)) for b in bits], lists], schema=_SKETCH)
+            yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int64)), *[pa.array(b.view(np.int64)) for b in bits], lists], schema=_SKETCH)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,6 +313,11 @@ def n_trees(percent: int, recall: float) -> int:
     return min(CHOICES, math.ceil(math.log(1 - recall) / math.log(1 - keeps)))
 
 
+def _text_key(text: Column) -> Column:
+    """128 bits that tell texts apart where ids don't: null and repeated ids."""
+    return F.unhex(F.md5(text.cast("string")))
+
+
 class Join:
     """One join: its classes, and the steps from nodes to confirmed links."""
 
@@ -320,7 +325,7 @@ class Join:
         self.spark, self.percent, self.recall = docs.sparkSession, percent, recall
         ship(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.rows = stash(self.docs.mapInArrow(_sketches, _SKETCH_TYPES), "sketches")
+        self.rows = stash(self.docs.withColumn("text_key", _text_key(F.col("text"))).mapInArrow(_sketches, _SKETCH_TYPES), "sketches")
         classes = self.rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "tokens")])
         self.classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
@@ -410,7 +415,9 @@ class Join:
         return stash(links, "links")
 
     def components(self) -> DataFrame:
-        """cid and comp, the least document id of its component, of every class."""
+        """digest, label of the component and component_id, the component's least document id, of every class.
+
+        Labels are the components' own; a component_id names several where an id has unlike texts."""
         nodes = self.roots()
         links = self.stars(nodes)
         labels = components(links)
@@ -421,7 +428,7 @@ class Join:
                 labels = components(labels.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionByName(more))
         joined = self.classes.select("cid", "rep", "digest").join(labels.withColumnRenamed("vertex", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         names = joined.groupBy("label").agg(F.min("rep").alias("name"))
-        return joined.join(names, "label").select("digest", F.col("name").alias("component_id"))
+        return joined.join(names, "label").select("digest", "label", F.col("name").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
@@ -433,13 +440,26 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, recall: float =
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+def distinct_documents(docs: DataFrame, *, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
     """docs with one document of each group: all columns, and only the rows that are kept.
 
-    Where an id has several rows, one of them stays.
+    A group keeps one row of its least id (null only where no member has another) and, where that id has several
+    of its texts, of the text of least key. Rows are told apart by id and text, so an id's other texts stay with
+    their own groups. Rows without words are alone and stay.
     """
-    found = stash(near_duplicates(docs, **options), "near-duplicates")
-    gone = stash(found.filter(~F.col("kept")).select(F.col("doc_id").alias("gleaner_gone")).distinct(), "gone")
-    rows = docs.join(bounded(gone, BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("gleaner_gone")), "left_anti")
-    repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id"])
+    join = Join(docs, percent, recall)
+    found = join.rows.filter("n > 0").select("doc_id", "text_key", "digest").join(join.components().select("digest", "label"), "digest")
+    found = stash(found.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("n")), "near-duplicates")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).select("first.doc_id", "first.text_key")
+    same = lambda a, b: a["doc_id"].cast("long").eqNullSafe(b["gleaner_id"]) & b["gleaner_key"].eqNullSafe(_text_key(a["text"]) if "text" in a.columns else a["text_key"])
+    named = lambda rows: rows.select(F.col("doc_id").alias("gleaner_id"), F.col("text_key").alias("gleaner_key"))
+    keys, first = found.select("doc_id", "text_key"), named(first)
+    gone = bounded(named(stash(keys.join(first, same(keys, first), "left_anti"), "gone")), BROADCAST_ROWS // 2)
+    rows = docs.join(gone, same(docs, gone), "left_anti")
+    repeated = named(stash(found.filter("n > 1").select("doc_id", "text_key"), "repeated"))
+    if repeated.isEmpty():
+        return rows
+    repeated = bounded(repeated, BROADCAST_ROWS // 2)
+    once = rows.join(repeated, same(rows, repeated), "left_anti")
+    often = rows.join(repeated, same(rows, repeated), "left_semi").withColumn("gleaner_key", _text_key(F.col("text")))
+    return once.unionByName(often.dropDuplicates(["doc_id", "gleaner_key"]).drop("gleaner_key"))

@@ -298,6 +298,16 @@ def test_near_duplicates(spark, docs, empty, monkeypatch):
     assert Counter(tuple(r) for r in near_duplicates.near_duplicates(table).collect()) == brute_components(rows, 85)
 
 
+def test_distinct_documents_of_null_and_repeated_ids(spark):
+    a, b, c, d, e = ("".join(f" {letter}{i}" for i in range(30)) for letter in "abcde")
+    rows = [(3, b), (5, b), (5, a), (5, c), (None, b), (None, d), (None, e), (None, e), (7, c), (7, None), (7, ""), (7, ""), (8, a.upper()), (9, d + " end"), (2, "x y"), (2, "X y"), (2, "z"), (2, "z")]
+    table = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    kept = near_duplicates.distinct_documents(table)
+    assert kept.columns == table.columns
+    got = Counter((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect())
+    assert got == Counter([(3, b), (5, a), (5, c), (9, d + " end"), (None, e), (7, ""), (7, ""), (7, ""), (2, "x y"), (2, "z")])
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_matrix_equals_pairs(seed, monkeypatch):
     """Both ways to confirm links connect the same members."""
