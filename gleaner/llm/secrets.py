@@ -5,7 +5,8 @@ set of parts, an identifier, a secret and an endpoint, and a weak candidate coun
 complete it begin or end within SCOPE code points of it in the same text:
 
 - ident (a user or client name that is assigned): with a secret (assign, hex or key40);
-- key40 (a bare run of exactly 40 base-64 characters): with an identifier (access or ident);
+- key40 (a bare run of exactly 40 base-64 characters, '=' only as padding at its end, so that an assignment's
+  '=' isn't part of the value): with an identifier (access or ident);
 - endpoint (the host part of a URL): with both an identifier and a secret.
 
 The company is found by an interval join on (row, stretch of SCOPE code points); it is a semi join, so a
@@ -39,7 +40,7 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 HINT = {"hex": r"[0-9a-f]{16}", "key40": r"[A-Za-z0-9+/=]{40}"}
 WEAK = {
     "ident": r"""(?i)(?:username|user|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]+""",
-    "key40": r"[A-Za-z0-9+/=]+",
+    "key40": r"[A-Za-z0-9+/]+={0,2}",
     "endpoint": r"https?://[A-Za-z0-9.-]+",
 }
 KINDS = [*BASE, *WEAK]
