@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,15 +71,16 @@ def deleteability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return deg.crossJoin(F.broadcast(top)).select("id", F.when(F.col("top") < 1e-15, 1.0).otherwise(1 - F.col("all_w") / (2 * F.col("top"))).alias("deleteability"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start, id, depth): all nodes that depend on each start, directly or not, by breadth-first search.
 
-    An edge src -> dst says that src depends on dst. The frontier is a table; a node enters it once.
+    An edge src -> dst says that src depends on dst. The frontier is a table; a node enters it once. The search
+    ends when the frontier is empty, or at max_depth where the caller gives one.
     """
     links = stash(without_loops(edges).select("src", "dst").distinct(), "links")
     seen = stash(starts.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("depth")), "reach")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(links, F.col("id") == F.col("dst")).select("start", F.col("src").alias("id")).distinct()
         frontier = stash(step.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
@@ -102,7 +105,7 @@ def change_set(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return hit.join(changed, "id", "left_anti")
 
 
-def eccentric_path(edges: DataFrame, start, max_depth: int = 50) -> DataFrame:
+def eccentric_path(edges: DataFrame, start, max_depth: int | None = None) -> DataFrame:
     """(depth, id): a shortest chain from a node to the farthest that depends on it; least ids win ties."""
     start_df = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("id"))
     found = reach(edges, start_df, max_depth).select("id", "depth").unionByName(start_df.withColumn("depth", F.lit(0)))

@@ -80,6 +80,14 @@ def test_graph_metrics(spark):
     assert health[0]["ca"] == 4 and health[1]["instability"] > 0.99
 
 
+def test_reach_of_a_long_chain(spark):
+    nodes = spark.range(54)
+    chain = spark.createDataFrame([(i + 1, i, 1.0) for i in range(53)] + [(0, 53, 1.0)], "src long, dst long, w double")
+    end = graphs.impact(nodes, chain, nodes.filter("id = 0")).first()
+    assert (end["direct"], end["reached"], end["depth"], end["share"]) == (1, 53, 53, 1.0)
+    assert graphs.reach(chain, nodes.filter("id = 0"), 4).count() == 4
+
+
 def test_causal_ancestor_wins(spark):
     docs = spark.createDataFrame([(1, [1.0, 0.0], 0.0), (2, [0.9, 0.1], 0.0), (3, [0.99, 0.0], -0.9)], "id long, v array<double>, karma double")
     links = spark.createDataFrame([(2, 9, "hetu", 1.0, 0)], "src long, dst long, relation string, strength double, seq long")
