@@ -191,14 +191,15 @@ def route(kinds: set[str], has_couplings: bool, override: str | None = None) ->
 def solve(objective: Objective, k: int, *, method: str | None = None, limit: int = 4096, seed: int = 0) -> DataFrame:
     """(id, h): the selected candidates.
 
-    A linear objective is a top-k, of any size. One with couplings is solved by a kernel on the candidates of
-    least energy, limit of them, in one task.
+    A linear objective is a top-k, of any size. One with couplings is solved by a kernel on all candidates in one
+    task; more than limit of them are an error, since any of them may be chosen for its couplings.
     """
     how = route(objective.kinds, objective.couplings is not None, method)
     if how == "top_k":
         return objective.linear.orderBy("h", "id").limit(k)
-    kept = objective.linear.orderBy("h", "id").limit(limit)
-    return solve_groups(kept.withColumn("problem", F.lit(0)), objective.couplings.withColumn("problem", F.lit(0)), k, method=how, gamma=objective.gamma, seed=seed).select("id", "h")
+    if (n := objective.linear.limit(limit + 1).count()) > limit:
+        raise ValueError(f"{n} candidates or more with couplings; one task solves {limit}")
+    return solve_groups(objective.linear.withColumn("problem", F.lit(0)), objective.couplings.withColumn("problem", F.lit(0)), k, method=how, gamma=objective.gamma, seed=seed).select("id", "h")
 
 
 def solve_groups(linear: DataFrame, couplings: DataFrame, k: int, *, method: str = "greedy", gamma: float = 0.0, seed: int = 0) -> DataFrame:

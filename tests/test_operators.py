@@ -155,6 +155,15 @@ def test_objective_routes(spark):
     assert [r["id"] for r in objective.solve(made, 3).collect()] == [4, 5, 2]
 
 
+def test_coupled_candidates_are_not_dropped(spark):
+    linear = spark.createDataFrame([(i, i - 10.0) for i in range(6)], "id long, h double")
+    links = spark.createDataFrame([(4, 5, -100.0), (5, 4, -100.0)], "src long, dst long, w double")
+    made = objective.Objective(linear, links, 0.0, {"supermodular"})
+    with pytest.raises(ValueError):
+        objective.solve(made, 2, method="greedy", limit=5)
+    assert objective.solve(made, 2, method="greedy", limit=6).count() == 2
+
+
 def test_methods_by_size():
     assert select.method_for(10, 1.0) == "greedy" and select.method_for(100, 0.2) == "greedy"
     assert select.method_for(100, 0.8) == "sa" and select.method_for(100, 0.5) == "relaxation"
