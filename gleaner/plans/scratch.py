@@ -1,27 +1,67 @@
-"""Tables between the steps of iterative plans, in the folder that driver and executors share."""
+"""Tables between the steps of plans, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder of this machine."""
+    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder of this machine.
+
+    Executors of a cluster would each see a folder of their own there, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="gleaner-"))
     return _own[0]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM is gone already; then the folder's owner cleans up
+        pass
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it again, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it again.
+
+    This cuts the lineage: whatever executors are lost later, the rows are there.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a stash that no later step reads, such as the last round's."""
+    if path := _paths.pop(df, None):
+        _remove(df.sparkSession, path)
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has no more than so many rows, counted here; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -10,6 +11,10 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes of an Arrow batch that goes to a Python worker: rows of long texts must not be counted, but weighed.
+BATCH_BYTES = 8 << 20
+_BYTES_KEY, _BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def session(name: str = "gleaner", **conf: str) -> SparkSession:
     """A session with the defaults the operators are written for: UTC, adaptive plans, Arrow."""
@@ -23,14 +28,16 @@ def session(name: str = "gleaner", **conf: str) -> SparkSession:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so that Python functions run there
-    wherever the driver found it."""
+    wherever the driver found it. Arrow batches are bounded in bytes, unless the session says how."""
+    if spark.conf.get(_BYTES_KEY, _BYTES_DEFAULT) in (None, _BYTES_DEFAULT):
+        spark.conf.set(_BYTES_KEY, f"{BATCH_BYTES}b")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        clean = Path(folder) / "src" / package.name
-        shutil.copytree(package, clean, ignore=shutil.ignore_patterns("__pycache__"))
-        archive = shutil.make_archive(str(Path(tempfile.mkdtemp()) / "gleaner"), "zip", clean.parent)
-    context.addPyFile(archive)
+    folder = tempfile.mkdtemp(prefix="gleaner-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    clean = Path(folder) / "src" / package.name
+    shutil.copytree(package, clean, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(Path(folder) / "gleaner"), "zip", clean.parent))
     _shipped.add(context.applicationId)
