@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -16,51 +17,12 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word of the word-count contracts: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_folder: list[str] = []
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the session names none (tests, notebooks on one machine) a temporary folder is used.
-    The path is removed when the driver ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="gleaner-"))
-        base = "file://" + _own_folder[0]
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM is gone already; then the folder's owner cleans up
-        pass
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    This cuts the lineage: whatever executors are lost later, the rows are there.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from gleaner.plans.scratch import bounded, discard, scratch_path, stash
 
-def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df marked for broadcast if it has no more than so many rows, counted here; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+__all__ = ["bounded", "discard", "scratch_path", "stash"]
 
+#: A word of the word-count contracts: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -147,25 +109,47 @@ _fetched: dict[str, np.ndarray] = {}
 def shared_array(folder: str, name: str) -> np.ndarray | None:
     """Map an array of a shared folder into memory; None where there is none.
 
-    A folder that isn't mounted is read through its file system into a temporary file first.
+    A folder that isn't mounted is read through its file system into a temporary file first, which has no name
+    once it is mapped, so that its space is free with the mapping. A worker keeps the maps of one folder.
     """
     key = f"{folder}/{name}"
     if key not in _fetched:
+        for other in [k for k in _fetched if not k.startswith(f"{folder}/")]:
+            del _fetched[other]
         if (local := _local(folder)) is not None:
-            path = f"{local}/{name}.npy"
-            if not os.path.exists(path):
+            if not os.path.exists(path := f"{local}/{name}.npy"):
                 return None
+            _fetched[key] = np.load(path, mmap_mode="r")
         else:
             store, remote = pa.fs.FileSystem.from_uri(f"{key}.npy")
             if store.get_file_info(remote).type == pa.fs.FileType.NotFound:
                 return None
-            with tempfile.NamedTemporaryFile(suffix=".npy", delete=False) as copy, store.open_input_stream(remote) as source:
-                shutil.copyfileobj(source, copy)
-            path = copy.name
-        _fetched[key] = np.load(path, mmap_mode="r")
+            with tempfile.NamedTemporaryFile(suffix=".npy") as copy:
+                with store.open_input_stream(remote) as source:
+                    shutil.copyfileobj(source, copy)
+                copy.flush()
+                _fetched[key] = np.load(copy.name, mmap_mode="r")
     return _fetched[key]
 
 
 def _local(folder: str) -> str | None:
     parts = urlparse(folder)
     return parts.path if parts.scheme in ("", "file") else None
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, which gives freed memory back to the system when a task's rows are done.
+
+    Workers outlive their tasks and are used again by other stages; what the allocators hold would add up.
+    """
+
+    def task(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+
+    return task

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stash
+from gleaner.llm.common import frugal, stash
 from gleaner.session import ship
 
 MAX_ROUNDS = 60
@@ -60,7 +60,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     if edges.count() <= TASK_LINKS:
         ship(edges.sparkSession)
-        return stash(edges.coalesce(1).mapInArrow(_least_labels, "vertex long, label long"), "labels")
+        return stash(edges.coalesce(1).mapInArrow(frugal(_least_labels), "vertex long, label long"), "labels")
     mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     was = mark(edges)
     for _ in range(MAX_ROUNDS):

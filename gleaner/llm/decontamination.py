@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import slices, split_words
+from gleaner.llm.common import frugal, slices, split_words
 from gleaner.session import ship
 
 WINDOW = 10
@@ -181,7 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     ship(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "row long, doc_id long, n_words long, runs array<struct<start:bigint,stop:bigint>>, items array<string>"
-    parts = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(block)), schema) for block in _blocks(benchmark, window)]
+    parts = [rows.mapInArrow(frugal(_scan(spark.sparkContext.broadcast(block))), schema) for block in _blocks(benchmark, window)]
     found = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
@@ -208,7 +208,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WIND
     spark = docs.sparkSession
     ship(spark)
     for block in _blocks(benchmark, window):
-        docs = docs.mapInArrow(_keep_clean(spark.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(frugal(_keep_clean(spark.sparkContext.broadcast(block))), docs.schema)
     return docs
 
 

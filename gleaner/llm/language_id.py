@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded, crc_mod, slices, uniform
+from gleaner.llm.common import bounded, crc_mod, frugal, slices, uniform
 from gleaner.session import ship
 
 WINDOW = 256
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, network: Network | None, *keep) -> DataFrame:
                 yield pa.record_batch([*[part.column(n) for n in names], pa.array([b or "und" for b in best], pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInArrow(frugal(run), ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def train_and_identify(docs: DataFrame, *, mod: int = 4, held: int = 2) -> DataFrame:

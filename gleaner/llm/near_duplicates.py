@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded, mix64, scratch_path, shared_array, shared_write, slices, stash, words_of
+from gleaner.llm.common import bounded, frugal, mix64, scratch_path, shared_array, shared_write, slices, stash, words_of
 from gleaner.llm.components import components
 from gleaner.session import ship
 
@@ -296,7 +296,7 @@ def _by_tile(answer, schema: pa.Schema):
         if len(found := answer({k: v[a:b] for k, v in rows.items()})):
             yield pa.record_batch([pa.array(c) for c in zip(*found, strict=True)], schema=schema)
 
-    return run
+    return frugal(run)
 
 
 def _most_apart(percent: int) -> int:
@@ -325,7 +325,7 @@ class Join:
         self.spark, self.percent, self.recall = docs.sparkSession, percent, recall
         ship(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.rows = stash(self.docs.withColumn("text_key", _text_key(F.col("text"))).mapInArrow(_sketches, _SKETCH_TYPES), "sketches")
+        self.rows = stash(self.docs.withColumn("text_key", _text_key(F.col("text"))).mapInArrow(frugal(_sketches), _SKETCH_TYPES), "sketches")
         classes = self.rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "tokens")])
         self.classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
@@ -336,7 +336,7 @@ class Join:
 
     def sets(self, cids: DataFrame) -> DataFrame:
         """cid and shingles of some classes."""
-        return stash(self.texts(cids).mapInArrow(_sets, "cid long, shingles array<long>").dropDuplicates(["cid"]), "sets")
+        return stash(self.texts(cids).mapInArrow(frugal(_sets), "cid long, shingles array<long>").dropDuplicates(["cid"]), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) of classes whose full sets are alike enough."""
@@ -409,7 +409,7 @@ class Join:
         if close.isEmpty():
             return self.spark.createDataFrame([], "a long, b long")
         folder = scratch_path(self.spark, "sets")
-        places = self.texts(close).mapInArrow(_store_sets(folder), "cid long, file string, start long, stop long")
+        places = self.texts(close).mapInArrow(frugal(_store_sets(folder)), "cid long, file string, start long, stop long")
         places = stash(places.dropDuplicates(["cid"]), "places")
         links = dealt(tiles.join(places, "cid")).mapInArrow(_by_tile(lambda rows: _Tile(rows, limit).links(folder, percent), pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
         return stash(links, "links")

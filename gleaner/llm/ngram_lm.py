@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import crc_mod, mix64, scratch_path, shared_array, shared_write, slices, words_of
+from gleaner.llm.common import crc_mod, frugal, mix64, scratch_path, shared_array, shared_write, slices, words_of
 from gleaner.session import ship
 
 #: The end of a text, as a word: hashes of words are made odd, so that no word is taken for it.
@@ -360,7 +360,7 @@ def train(docs: DataFrame) -> Model:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     ranges = max(8, min(texts.rdd.getNumPartitions(), MAX_RANGES))
     folder = scratch_path(spark, "ngrams")
-    counted = texts.mapInArrow(_count_words(ranges), "range int, keys binary, counts binary").groupBy("range")
+    counted = texts.mapInArrow(frugal(_count_words(ranges)), "range int, keys binary, counts binary").groupBy("range")
     rows = {r["range"]: r for r in counted.applyInArrow(_write_words(folder), "range int, n long, tokens long, ends long").collect()}  # a row for each range
     first = np.concatenate(([0], np.cumsum([rows[k]["n"] if k in rows else 0 for k in range(ranges)]))).tolist()
     words = Words(folder, ranges, first, sum(r["tokens"] for r in rows.values()), sum(r["ends"] for r in rows.values()))
@@ -368,7 +368,7 @@ def train(docs: DataFrame) -> Model:
         raise ValueError(f"{words.size} different words; ids are 32 bits wide")
     if not words.size:
         return Model(words)
-    pairs = texts.mapInArrow(_count_pairs(words), "range int, keys binary, counts binary").groupBy("range")
+    pairs = texts.mapInArrow(frugal(_count_pairs(words)), "range int, keys binary, counts binary").groupBy("range")
     about = pairs.applyInArrow(_write_pairs(words), "range int, ids binary, numbers binary, k1 long, k2 long, k3 long, k4 long").groupBy("range")
     totals = about.applyInArrow(_write_about(words), ", ".join(f"{c} long" for c in ("total", "t1", "t2", "t3", "t4", "t_more", "k1", "k2", "k3", "k4")))
     t = totals.agg(*[F.sum(c).alias(c) for c in totals.columns]).first()
@@ -391,7 +391,7 @@ def score(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
                     yield pa.record_batch([*[part.column(n) for n in names], *[pa.array(x) for x in scores.values()]], [*names, *scores])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
-    return rows.mapInArrow(run, ", ".join([*fields, "n_tokens long", "n_known long", "base_score double", "score double"]))
+    return rows.mapInArrow(frugal(run), ", ".join([*fields, "n_tokens long", "n_known long", "base_score double", "score double"]))
 
 
 def perplexity(score_log10: Column, n_tokens: Column) -> Column:

@@ -7,10 +7,11 @@ reader of lengths or offsets alone touches no ids; a reader of one document read
 Each row carries its file's number and its offset among the ids of that file; the sums of the files, a row
 for each, give the offset among all ids.
 
-Encoding: a text is cut at ASCII white space, which the tokenizer drops; equal pieces of a slice are encoded
-once. A piece's words of ASCII or Latin letters go straight to the merge table, other pieces, and texts that
-hold a special token's string, go through the whole tokenizer. What was encoded is kept by the worker, up to a
-number of pieces.
+Encoding: any tokenizer file of the tokenizers library serves. Where the file's own rules say that white space
+is dropped and how words are cut (SPLITS_WORDS), a text is cut at ASCII white space and equal pieces of a slice
+are encoded once: a piece's words of ASCII or Latin letters go straight to the merge table, other pieces, and
+texts that hold a special token's string, go through the whole tokenizer. What was encoded is kept by the task,
+up to a number of pieces. Files with other rules get whole texts, slice by slice.
 
 Cases: null and empty texts have the end id alone. Equal ids keep the order of their rows in the input, and
 their texts are written one after the other. A null id sorts first. An empty table makes files without rows.
@@ -18,9 +19,11 @@ their texts are written one after the other. A null id sorts first. An empty tab
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,19 +33,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded, scratch_path, slices, split_words
+from gleaner.llm.common import bounded, frugal, scratch_path, slices, split_words
 from gleaner.session import ship
 
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of a row group and of a page, and rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 500
-#: Pieces that a worker keeps.
-KEPT = 600_000
+#: Pieces and words that a task keeps.
+KEPT = 80_000
+
+#: The normalizer and the pre-tokenizer of files whose texts may be cut at white space.
+SPLITS_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 _SIMPLE = re.compile(r"[!-~ß-öø-ÿ]*")
 
+
 class Encoder:
     """The tokenizer of a file, piece by piece."""
 
@@ -52,6 +68,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_pieces = (rules["normalizer"], rules["pre_tokenizer"]) == SPLITS_WORDS and rules["model"].get("dropout") is None
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
@@ -64,7 +82,8 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(word.translate(self.letters))], np.uint32).tobytes()
+            plain = word if word.isascii() else word.translate(self.letters)
+            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
         return ids
 
     def _encode(self, pieces: list[str]) -> None:
@@ -81,12 +100,18 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END_ID after them, and how many each has."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.by_pieces:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ids = [np.array([*x, END_ID], np.uint32) for x in found]
+            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
         lower = pc.ascii_lower(texts)
         flat, starts = split_words(pc.ascii_trim_whitespace(lower))
         coded = flat.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.pieces) + len(self.words) > KEPT:
-            self.pieces, self.words = {}, {}
+        if len(self.pieces) > KEPT:  # what this slice has too is likely to come again
+            self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
+        if len(self.words) > KEPT:
+            self.words = {}
         missing = [p for p in pieces if p not in self.pieces]
         if missing:
             self._encode(missing)
@@ -151,7 +176,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     parts = max(1, rows.rdd.getNumPartitions())
     rows = rows.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
-    coded = rows.mapInArrow(_encode_rows(tokenizer or default_tokenizer()), "doc_id long, part int, at long, n_tokens long, ids array<int>")
+    coded = rows.mapInArrow(frugal(_encode_rows(tokenizer or default_tokenizer())), "doc_id long, part int, at long, n_tokens long, ids array<int>")
     options = {
         "compression": "zstd",
         "parquet.writer.version": "PARQUET_2_0",
@@ -187,4 +212,4 @@ def round_trip(docs: DataFrame, *, tokenizer: str | None = None, path: str | Non
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     write_tokens(docs, path, tokenizer=tokenizer)
-    return read_tokens(spark, path).mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, path).mapInArrow(frugal(_checksums), "doc_id long, start long, n_tokens long, ids_crc32 long")

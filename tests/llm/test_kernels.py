@@ -135,6 +135,27 @@ def test_encoder_equals_tokenizer():
             assert part.tolist() == want, text
 
 
+def test_encoder_of_files_with_other_rules():
+    import public_tokenizers
+
+    coder = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = random_texts(40, seed=6) + [" two  spaces ", "line\n\nline", "<|endoftext|>"]
+    ids, counts = coder.encode(pa.array(texts))
+    for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert part.tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    assert not coder.by_pieces and token_output.Encoder(token_output.default_tokenizer()).by_pieces
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(token_output, "KEPT", 5)
+    coder = token_output.Encoder(token_output.default_tokenizer())
+    for seed in range(4):
+        texts = random_texts(20, seed=seed)
+        ids, counts = coder.encode(pa.array(texts))
+        for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert part.tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+
+
 def test_discounts():
     assert ngram_lm.discounts(0, 1, 1, 1) == (0.0, 0.5, 1.0, 1.5)
     d = ngram_lm.discounts(100, 50, 30, 20)
