@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
@@ -137,6 +138,21 @@ def _local(folder: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside remove their shuffle files when they end, not when the driver
+    happens to collect its garbage. Each must be run once."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
+
+
 Batches = Iterator[pa.RecordBatch]
 
 

@@ -1,26 +1,33 @@
-"""Interpolated modified Kneser-Ney language model over words, counted in Spark.
+"""Interpolated modified Kneser-Ney language model over words, of order 3, counted in Spark.
 
-The model is of order 2: a word's probability given the one before is
+A word's probability given the two before is
 
-    P(w | v) = max(c(v w) - D(c(v w)), 0) / c(v) + gamma(v) * P1(w)
-    P1(w)    = max(k(w) - D1(k(w)), 0) / T + gamma1 / (V + 1)
+    P3(w | u v) = max(c(u v w) - D(c(u v w)), 0) / c(u v) + gamma(u v) P2(w | v)
+    P2(w | v)   = max(k(v w) - D(k(v w)), 0) / k(v) + gamma(v) P1(w)
+    P1(w)       = max(k(w) - D(k(w)), 0) / T + gamma / (V + 1)
 
-with D and D1 the three discounts of modified Kneser-Ney, from counts of counts; k(w) the number of different
-words before w, T their sum; gamma(v) and gamma1 the mass that discounts leave; V the vocabulary with the end.
-After an unseen word P1 is used. All known words and one unknown add up to one after every word.
+c counts words, k the different words that come before, k(v) and T are the sums of k(v w) over w and of k(w).
+Each order has three discounts D of modified Kneser-Ney, from its counts of counts; gamma is the mass that they
+leave; V is the vocabulary with the end. Two begins stand before a text. After a context that was never seen
+the next lower order is used. All known words and one unknown add up to one after every context.
 
-Building takes three shuffles, each of packed arrays, not of a row for each n-gram:
+Building takes four shuffles, each of packed arrays, not of a row for each n-gram, and each is removed when its
+arrays are written:
 
 1. words: a task counts its words by 64-bit hash and deals sorted runs of (hash, count) by hash range; each
    range is merged into a sorted array. A word's id is its place in all ranges.
-2. bigrams: a task turns its texts into ids, counts (id, id) pairs, and deals them by their mixed key, so no
-   word, however common, gathers its pairs in one task. Each range is merged and sorted.
-3. what a bigram range knows about words (how many words follow or precede) goes to ranges of ids, where it
-   is added up in dense arrays.
+2. trigrams: a task turns its texts into ids, counts trigrams, and deals them by their mixed context (u v). A
+   range is written as a sorted array of contexts, with sums about each, and its sorted followers.
+3. continuations: each range deals the pairs (v w) of its trigrams by their own mixed key, which is a context's
+   key too, so that k(v w) is written beside the contexts.
+4. what a range of pairs knows about words (what follows or precedes) goes to ranges of ids, where it is added
+   up in dense arrays.
 
-The arrays are files in the shared folder. Workers map them into memory and bisect: a slice of texts is
-looked up in sorted order. The driver holds the totals of each range, no n-grams. Ids are 32 bits wide, which
-bounds the vocabulary at 4 billion words; more is an error.
+Followers of a context meet in one task after each task has counted its own: no more than the vocabulary.
+
+The arrays are files in the shared folder; small numbers take a byte, with the few large ones beside. Workers
+map them into memory and bisect: a slice of texts is looked up in sorted order. The driver holds the totals of
+each range, no n-grams. Ids are 32 bits wide, which bounds the vocabulary at 4 billion words; more is an error.
 
 Cases: a null text is empty; an empty text is its end alone. Without training texts nothing is known, all
 probability is on the unknown word, and every text scores 0. Where counts of counts are missing the discounts
@@ -30,7 +37,7 @@ are 1/2, 1 and 3/2. Repeated rows count as often as they are there. Null ids has
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +45,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import crc_mod, frugal, mix64, scratch_path, shared_array, shared_write, slices, words_of
+from gleaner.llm.common import crc_mod, frugal, mix64, scratch_path, shared_array, shared_write, shuffles_removed, slices, words_of
 from gleaner.session import ship
 
 #: The end of a text, as a word: hashes of words are made odd, so that no word is taken for it.
 END = np.uint64(0)
 MAX_RANGES = 8192
-#: Pairs that a task counts before it passes them on.
-PAIRS = 6_000_000
+#: Different words, or trigrams, that a task holds before it passes them on.
+HELD_WORDS, HELD = 6_000_000, 4_500_000
+#: Contexts that share a stored place of their first follower.
+BLOCK = 32
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -130,10 +139,10 @@ def _count_words(ranges: int):
                 keys.append(_hashes(coded.dictionary))
                 counts.append(np.bincount(coded.indices.to_numpy(), minlength=len(keys[-1])).astype(np.int64))
                 held, texts = held + len(keys[-1]), texts + part.num_rows
-                if held > PAIRS:
+                if held > HELD_WORDS:
                     merged = _merged(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, held = [merged[0]], [merged[1]], len(merged[0])
-                    if held > PAIRS // 2:
+                    if held > HELD_WORDS // 2:
                         yield from _dealt(*merged, ranges)
                         keys, counts, held = [], [], 0
         keys.append(np.array([END], np.uint64))
@@ -170,6 +179,11 @@ class Words:
     def size(self) -> int:
         return self.first[-1]
 
+    @property
+    def step(self) -> int:
+        """Ids of a range of ids; the begin has one too."""
+        return -(-(self.size + 1) // self.ranges)
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of words."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
@@ -215,48 +229,160 @@ def _before(tokens: np.ndarray, begins: np.ndarray, begin: int) -> np.ndarray:
     return before
 
 
-def _count_pairs(words: Words):
+def _grouped(contexts: np.ndarray, followers: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Sorted contexts, how many different followers each has, these, sorted, and their counts."""
+    order = np.argsort(contexts)
+    contexts = contexts[order]
+    new = np.concatenate(([True], contexts[1:] != contexts[:-1])) if len(order) else np.zeros(0, bool)
+    both = (np.cumsum(new) - 1).astype(np.uint64) << np.uint64(32) | followers[order]
+    keys = contexts[new]
+    if counts is None:
+        both, counts = _counted(both)
+    else:
+        both, counts = _merged(both, counts[order])
+    return keys, np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(keys)), (both & _LOW).astype(np.uint32), counts
+
+
+_TRIPLES = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("followers", pa.binary()), ("counts", pa.binary())])
+_TRIPLE_TYPES = "range int, keys binary, sizes binary, followers binary, counts binary"
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers, byte plane by byte plane."""
+    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _count_triples(words: Words):
+    """Trigrams of texts, dealt by context; beyond stands after the end, so that every pair is a context."""
+    begin, beyond = words.size, words.size + 1
+
+    def dealt(contexts: list, followers: list) -> Iterator[pa.RecordBatch]:
+        keys, sizes, after, counts = _grouped(np.concatenate(contexts), np.concatenate(followers))
+        cuts = np.append(np.searchsorted(keys, _bounds(words.ranges)), len(keys))
+        inner = np.concatenate(([0], np.cumsum(sizes)))[cuts]
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            own, its = slice(cuts[k], cuts[k + 1]), slice(inner[k], inner[k + 1])
+            row = [[k], [_pack(keys[own])], [_planes(sizes[own])], [_planes(after[its])], [_planes(counts[its])]]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(row, _TRIPLES.types, strict=True)], schema=_TRIPLES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        contexts, followers, n = [], [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 tokens, hashes, begins = _encoded(part.column("text"))
-                ids, _ = words.look_up(hashes)
-                ids = ids[tokens]
-                held.append(mix64(_before(ids, begins, words.size).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)))
-                n += len(tokens)
-                if n > PAIRS:
-                    yield from _dealt(*_counted(np.concatenate(held)), words.ranges)
-                    held, n = [], 0
+                ids = words.look_up(hashes)[0][tokens]
+                before = _before(ids, begins, begin)
+                ends = begins[1:] - 1
+                first = np.concatenate((_before(before, begins, begin), before[ends]))
+                second = np.concatenate((before, ids[ends]))
+                contexts.append(_pair(first, second))
+                followers.append(np.concatenate((ids, np.full(len(ends), beyond))).astype(np.uint32))
+                n += len(first)
+                if n > HELD:
+                    yield from dealt(contexts, followers)
+                    contexts, followers, n = [], [], 0
         if n:
-            yield from _dealt(*_counted(np.concatenate(held)), words.ranges)
+            yield from dealt(contexts, followers)
+
+    return run
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix64(first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64))
+
+
+def _write_small(folder: str, name: str, values: np.ndarray) -> None:
+    """Numbers as bytes; where the byte is 255, the number is in a second array, by place."""
+    large = np.flatnonzero(values.ravel() >= 255)
+    shared_write(folder, name, np.minimum(values, 255).astype(np.uint8))
+    shared_write(folder, f"{name}-large", np.stack([large, values.ravel()[large]]).astype(np.int64))
+
+
+def _read_small(folder: str, name: str, at: np.ndarray, row: int = 0) -> np.ndarray:
+    """Numbers at some places of a row; 0 where nothing was written."""
+    stored = shared_array(folder, name)
+    if stored is None:
+        return np.zeros(len(at), np.int64)
+    out = (stored if stored.ndim == 1 else stored[row])[at].astype(np.int64)
+    full = np.flatnonzero(out == 255)
+    if len(full):
+        places, values = shared_array(folder, f"{name}-large")
+        out[full] = values[np.searchsorted(places, at[full] + row * stored.shape[-1])]
+    return out
+
+
+#: Rows of what is stored about a context: different followers, their sum of counts, those seen once and twice.
+SIZE, SUM, ONCE, TWICE = range(4)
+
+
+def _write_triples(words: Words):
+    """Write a range of contexts with their followers; return its counts of counts."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        k, folder = key[0].as_py(), words.folder
+        columns = [table.column(c).to_pylist() for c in ("keys", "sizes", "followers", "counts")]
+        contexts = [np.repeat(_unpack(keys), _numbers(sizes)) for keys, sizes in zip(*columns[:2], strict=True)]
+        followers, counts = ([_numbers(x) for x in column] for column in columns[2:])
+        del table, columns
+        keys, sizes, after, counts = _grouped(np.concatenate(contexts), np.concatenate(followers), np.concatenate(counts).astype(np.int64))
+        first = np.cumsum(sizes) - sizes
+        shared_write(folder, f"pair-{k}", keys)
+        _write_small(folder, f"context-{k}", np.stack([sizes, *(np.add.reduceat(x, first) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64)))]))
+        shared_write(folder, f"first-{k}", first[::BLOCK])
+        shared_write(folder, f"after-{k}", after)
+        _write_small(folder, f"times-{k}", counts)
+        real = counts[after <= words.size]
+        return pa.table({"range": pa.array([k], pa.int32())} | {f"k{c}": [int((real == c).sum())] for c in (1, 2, 3, 4)})
+
+    return run
+
+
+def _continued(words: Words):
+    """The pairs (v, w) of a range's trigrams and how many different words come before, dealt by their own key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                keys = shared_array(words.folder, f"pair-{k}")
+                if keys is None:
+                    continue
+                sizes = _read_small(words.folder, f"context-{k}", np.arange(len(keys)), SIZE)
+                after = shared_array(words.folder, f"after-{k}")
+                real = after <= words.size
+                yield from _dealt(*_counted(_pair(np.repeat(unmix64(keys) & _LOW, sizes)[real], after[real])), words.ranges)
 
     return run
 
 
 _ABOUT = pa.schema([("range", pa.int32()), ("ids", pa.binary()), ("numbers", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("k3", pa.int64()), ("k4", pa.int64())])
+#: What is known of a word: followers that one, two or more words precede it with, their sum; different words before.
+NUMBERS = 5
 
 
-def _write_pairs(words: Words):
-    """Write a range of bigrams; return, for ranges of ids, how many different words this range has before each
-    word, and how many it has after it once, twice, or more often."""
+def _write_continued(words: Words):
+    """Write k(v w) beside a range's contexts; return, for ranges of ids, what the range knows of words."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         mixed, counts = _joined(table)
         k = key[0].as_py()
-        shared_write(words.folder, f"pair-{k}", mixed)
-        shared_write(words.folder, f"pairs-{k}", _small(counts))
+        known = np.zeros(len(shared_array(words.folder, f"pair-{k}")), np.int64)
+        known[np.searchsorted(shared_array(words.folder, f"pair-{k}"), mixed)] = counts
+        _write_small(words.folder, f"continued-{k}", known)
         pairs = unmix64(mixed)
         first, second = (pairs >> np.uint64(32)).astype(np.int64), (pairs & _LOW).astype(np.int64)
         order = np.argsort(first, kind="stable")
-        after, at, kind = first[order], np.arange(0), np.minimum(counts, 3)[order]
+        after, kind = first[order], np.minimum(counts, 3)[order]
         at = np.flatnonzero(np.concatenate(([True], after[1:] != after[:-1])))
-        followed = [np.add.reduceat((kind == c).astype(np.int64), at) for c in (1, 2, 3)]
+        followed = [np.add.reduceat(x, at) for x in (*((kind == c).astype(np.int64) for c in (1, 2, 3)), counts[order])]
         target, before = np.unique(second, return_counts=True)
         ids = np.concatenate((after[at], target))
-        numbers = np.zeros((4, len(ids)), np.int64)
-        numbers[:3, : len(at)], numbers[3, len(at) :] = followed, before
-        step = -(-(words.size + 1) // words.ranges)
+        numbers = np.zeros((NUMBERS, len(ids)), np.int64)
+        numbers[:4, : len(at)], numbers[4, len(at) :] = followed, before
+        step = words.step
         order = np.argsort(ids // step, kind="stable")
         ids, numbers = ids[order], numbers[:, order]
         cuts = np.searchsorted(ids // step, np.arange(words.ranges + 1))
@@ -272,18 +398,17 @@ def _write_pairs(words: Words):
 
 
 def _write_about(words: Words):
-    """Add up what all bigram ranges know about a range of ids."""
+    """Add up what all ranges of pairs know about a range of ids."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         r = key[0].as_py()
-        step = -(-(words.size + 1) // words.ranges)
-        sums = np.zeros((4, step), np.int64)
+        sums = np.zeros((NUMBERS, words.step), np.int64)
         for ids, numbers in zip(table.column("ids").to_pylist(), table.column("numbers").to_pylist(), strict=True):
             where = np.frombuffer(ids, np.uint32)
-            for row, add in zip(sums, np.frombuffer(numbers, np.uint32).reshape(4, -1), strict=True):
-                row += np.bincount(where, add, minlength=step).astype(np.int64)
+            for row, add in zip(sums, np.frombuffer(numbers, np.uint32).reshape(NUMBERS, -1), strict=True):
+                row += np.bincount(where, add, minlength=words.step).astype(np.int64)
         shared_write(words.folder, f"about-{r}", _small(sums))
-        before = sums[3]
+        before = sums[4]
         out = {"total": [int(before.sum())]} | {f"t{c}": [int((before == c).sum())] for c in (1, 2, 3, 4)} | {"t_more": [int((before >= 3).sum())]}
         return pa.table(out | {f"k{c}": [sum(table.column(f"k{c}").to_pylist())] for c in (1, 2, 3, 4)})
 
@@ -299,52 +424,86 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float,
     return (0.0, *(min(max(d, 0.0), float(k)) for k, d in enumerate(found, 1)))
 
 
+_NONE = (0.0, 0.5, 1.0, 1.5)
+
+
 @dataclass
 class Model:
     words: Words
-    pair_discount: tuple[float, ...] = (0.0, 0.5, 1.0, 1.5)
-    word_discount: tuple[float, ...] = (0.0, 0.5, 1.0, 1.5)
-    kinds: int = 0  #: different bigrams
-    left: float = 1.0  #: gamma1
-    _about: dict = field(default_factory=dict)
+    triple_discount: tuple[float, ...] = _NONE
+    pair_discount: tuple[float, ...] = _NONE
+    word_discount: tuple[float, ...] = _NONE
+    kinds: int = 0  #: different pairs
+    left: float = 1.0  #: what the words' discounts leave
 
     def about(self, ids: np.ndarray) -> np.ndarray:
-        """Four numbers for each id: followers seen once, twice, more often; different words before."""
-        out = np.zeros((4, len(ids)), np.int64)
-        step = -(-(self.words.size + 1) // self.words.ranges)
+        """NUMBERS for each id."""
+        out = np.zeros((NUMBERS, len(ids)), np.int64)
         order = np.argsort(ids)
-        cuts = np.searchsorted(ids[order], np.arange(self.words.ranges + 1) * step)
+        cuts = np.searchsorted(ids[order], np.arange(self.words.ranges + 1) * self.words.step)
         for r in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             stored = shared_array(self.words.folder, f"about-{r}")
             if stored is not None:
                 part = order[cuts[r] : cuts[r + 1]]
-                out[:, part] = stored[:, ids[part] - r * step]
+                out[:, part] = stored[:, ids[part] - r * self.words.step]
         return out
 
+    def _after(self, k: int, at: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For contexts at some places of a range: how often the wanted words follow, the sum over all words
+        that follow, and the share that discounts leave."""
+        folder, d = self.words.folder, self.triple_discount
+        size, total, once, twice = (_read_small(folder, f"context-{k}", at, row) for row in (SIZE, SUM, ONCE, TWICE))
+        left = (d[1] * once + d[2] * twice + d[3] * (size - once - twice)) / total
+        start = np.asarray(shared_array(folder, f"first-{k}"))[at // BLOCK]
+        for step in range(1, BLOCK):  # sizes of the contexts between the block's first and this one
+            more = np.flatnonzero(at % BLOCK >= step)
+            start[more] += _read_small(folder, f"context-{k}", at[more] - step, SIZE)
+        after = shared_array(folder, f"after-{k}")
+        low, high = start, start + size
+        end, open_ = high.copy(), np.arange(len(at))
+        while len(open_):
+            middle = (low[open_] + high[open_]) // 2
+            less = after[middle] < wanted[open_]
+            low[open_[less]], high[open_[~less]] = middle[less] + 1, middle[~less]
+            open_ = open_[low[open_] < high[open_]]
+        there = np.flatnonzero(low < end)
+        there = there[after[low[there]] == wanted[there]]
+        count = np.zeros(len(at), np.int64)
+        count[there] = _read_small(folder, f"times-{k}", low[there])
+        return count, total, left
+
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """For each text: tokens, known tokens, and the two log10 scores."""
         words = self.words
         tokens, hashes, begins = _encoded(texts)
         ids, counts = words.look_up(hashes)
         base = np.log10((counts + 0.1) / (words.tokens + 0.1 * (words.size + 1)))
-        known = ids >= 0
-        about = np.zeros((4, len(ids) + 1), np.int64)
-        about[:, :-1][:, known] = self.about(ids[known])
-        seen = np.append(counts, words.texts)  # as a word before others; the last is the begin
-        if words.texts:
-            about[:, -1:] = self.about(np.array([words.size]))
-        single = self._discounted(about[3], self.word_discount) / max(self.kinds, 1) + self.left / (words.size + 1)
-        left = np.asarray(self.pair_discount[1:]) @ about[:3] / np.maximum(seen, 1)
-        left[seen == 0] = 1.0
-        before = _before(tokens, begins, len(ids))
+        known = np.append(ids >= 0, words.texts > 0)  # the last is the begin
         all_ids = np.append(ids, words.size)
-        p = left[before] * single[tokens]
-        both = np.flatnonzero((seen[before] > 0) & known[tokens])
-        keys = mix64(all_ids[before[both]].astype(np.uint64) << np.uint64(32) | ids[tokens[both]].astype(np.uint64))
-        pairs = np.zeros(len(both), np.int64)
-        for part, at, found, k in _searched(words.folder, "pair", words.ranges, keys):
-            pairs[part[found]] = shared_array(words.folder, f"pairs-{k}")[at[found]]
-        p[both] += self._discounted(pairs, self.pair_discount) / seen[before[both]]
+        about = np.zeros((NUMBERS, len(all_ids)), np.int64)
+        about[:, known] = self.about(all_ids[known])
+        single = self._discounted(about[4], self.word_discount) / max(self.kinds, 1) + self.left / (words.size + 1)
+        left = np.asarray(self.pair_discount[1:]) @ about[:3] / np.maximum(about[3], 1)
+        left[about[3] == 0] = 1.0
+        before = _before(tokens, begins, len(ids))
+        # where each pair is stored: of a token and the one before, and, last, of two begins
+        first, second = np.append(before, len(ids)), np.append(tokens, len(ids))
+        both = np.flatnonzero(known[first] & known[second])
+        in_range, place, continued = np.full(len(first), -1), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        for part, at, found, k in _searched(words.folder, "pair", words.ranges, _pair(all_ids[first[both]], all_ids[second[both]])):
+            where = both[part[found]]
+            in_range[where], place[where] = k, at[found]
+            continued[where] = _read_small(words.folder, f"continued-{k}", at[found])
+        p = left[before] * single[tokens] + self._discounted(continued[:-1], self.pair_discount) / np.maximum(about[3][before], 1)
+        # a token's context is the pair that ends before it
+        context = _before(np.arange(len(tokens)), begins, len(tokens))
+        rest = np.flatnonzero(in_range[context] >= 0)
+        rest = rest[np.lexsort((place[context[rest]], in_range[context[rest]]))]
+        ranges = in_range[context[rest]]
+        wanted = np.where(known[tokens], all_ids[tokens], words.size + 2)  # no follower is that
+        for k, own in ((int(ranges[x[0]]), rest[x]) for x in np.split(np.arange(len(rest)), np.flatnonzero(np.diff(ranges)) + 1) if len(x)):
+            count, total, share = self._after(k, place[context[own]], wanted[own])
+            p[own] = share * p[own] + self._discounted(count, self.triple_discount) / total
         sums = lambda x: np.add.reduceat(x, begins[:-1])  # noqa: E731  every text has its end, so no run is empty
         return {"n_tokens": np.diff(begins), "n_known": sums(known[tokens].astype(np.int64)), "base_score": sums(base[tokens]), "score": sums(np.log10(p))}
 
@@ -359,22 +518,26 @@ def train(docs: DataFrame) -> Model:
     ship(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     ranges = max(8, min(texts.rdd.getNumPartitions(), MAX_RANGES))
-    folder = scratch_path(spark, "ngrams")
-    counted = texts.mapInArrow(frugal(_count_words(ranges)), "range int, keys binary, counts binary").groupBy("range")
-    rows = {r["range"]: r for r in counted.applyInArrow(_write_words(folder), "range int, n long, tokens long, ends long").collect()}  # a row for each range
-    first = np.concatenate(([0], np.cumsum([rows[k]["n"] if k in rows else 0 for k in range(ranges)]))).tolist()
-    words = Words(folder, ranges, first, sum(r["tokens"] for r in rows.values()), sum(r["ends"] for r in rows.values()))
-    if words.size >= 1 << 32:
-        raise ValueError(f"{words.size} different words; ids are 32 bits wide")
-    if not words.size:
-        return Model(words)
-    pairs = texts.mapInArrow(frugal(_count_pairs(words)), "range int, keys binary, counts binary").groupBy("range")
-    about = pairs.applyInArrow(_write_pairs(words), "range int, ids binary, numbers binary, k1 long, k2 long, k3 long, k4 long").groupBy("range")
-    totals = about.applyInArrow(_write_about(words), ", ".join(f"{c} long" for c in ("total", "t1", "t2", "t3", "t4", "t_more", "k1", "k2", "k3", "k4")))
-    t = totals.agg(*[F.sum(c).alias(c) for c in totals.columns]).first()
+    folder, packed = scratch_path(spark, "ngrams"), "range int, keys binary, counts binary"
+    with shuffles_removed(spark):
+        counted = texts.mapInArrow(frugal(_count_words(ranges)), packed).groupBy("range")
+        rows = {r["range"]: r for r in counted.applyInArrow(_write_words(folder), "range int, n long, tokens long, ends long").collect()}  # a row for each range
+        first = np.concatenate(([0], np.cumsum([rows[k]["n"] if k in rows else 0 for k in range(ranges)]))).tolist()
+        words = Words(folder, ranges, first, sum(r["tokens"] for r in rows.values()), sum(r["ends"] for r in rows.values()))
+        if words.size >= (1 << 32) - 2:
+            raise ValueError(f"{words.size} different words; ids are 32 bits wide")
+        if not words.size:
+            return Model(words)
+        ks = [f"k{c}" for c in (1, 2, 3, 4)]
+        total = lambda df: df.agg(*[F.sum(c).alias(c) for c in df.columns if c != "range"]).first()
+        triples = texts.mapInArrow(frugal(_count_triples(words)), _TRIPLE_TYPES).groupBy("range")
+        t3 = total(triples.applyInArrow(_write_triples(words), "range int, " + ", ".join(f"{k} long" for k in ks)))
+        pairs = spark.range(0, ranges, 1, ranges).mapInArrow(frugal(_continued(words)), packed).groupBy("range")
+        about = pairs.applyInArrow(_write_continued(words), "range int, ids binary, numbers binary, " + ", ".join(f"{k} long" for k in ks)).groupBy("range")
+        t = total(about.applyInArrow(_write_about(words), ", ".join(f"{c} long" for c in ("total", "t1", "t2", "t3", "t4", "t_more", *ks))))
     by_word = discounts(t["t1"], t["t2"], t["t3"], t["t4"])
     left = (by_word[1] * t["t1"] + by_word[2] * t["t2"] + by_word[3] * t["t_more"]) / t["total"]
-    return Model(words, discounts(t["k1"], t["k2"], t["k3"], t["k4"]), by_word, t["total"], left)
+    return Model(words, discounts(*[t3[k] for k in ks]), discounts(*[t[k] for k in ks]), by_word, t["total"], left)
 
 
 def score(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:

@@ -121,30 +121,40 @@ def test_language_model(docs, empty):
     train = [w for i, w in data if crc(i) % 10 != 0]
     counts = Counter(x for w in train for x in [*w, None])
     n, v = sum(counts.values()), len(counts)
-    pairs = Counter(p for w in train for p in zip([False, *w], [*w, None], strict=True))
-    before, after = Counter(b for _, b in pairs), defaultdict(Counter)
-    for (a, _), c in pairs.items():
-        after[a][min(c, 3)] += 1
-    seen = Counter(a for p, c in pairs.items() for a in [p[0]] * c)
+    triples = Counter(p for w in train for p in zip([False, False, *w], [False, *w, None], [*w, None], strict=False))
+    pairs = Counter((v, w) for _, v, w in triples)
+    before = Counter(b for _, b in pairs)
+
+    def by_context(table):
+        after, total = defaultdict(Counter), Counter()
+        for gram, c in table.items():
+            after[gram[:-1]][min(c, 3)] += 1
+            total[gram[:-1]] += c
+        return after, total
+
+    (after3, total3), (after2, total2) = by_context(triples), by_context(pairs)
     of = lambda values: ngram_lm.discounts(*[sum(1 for c in values if c == k) for k in (1, 2, 3, 4)])
-    d2, d1 = of(pairs.values()), of(before.values())
+    d3, d2, d1 = of(triples.values()), of(pairs.values()), of(before.values())
     left = sum(d1[min(c, 3)] for c in before.values()) / len(pairs)
     single = lambda w: max(before[w] - d1[min(before[w], 3)], 0) / len(pairs) + left / (v + 1)
 
-    def p(a, b):
-        if not seen[a]:
-            return single(b)
-        gamma = sum(d2[k] * after[a][k] for k in (1, 2, 3)) / seen[a]
-        return max(pairs[a, b] - d2[min(pairs[a, b], 3)], 0) / seen[a] + gamma * single(b)
+    def interpolated(table, after, total, d, gram, lower):
+        context = gram[:-1]
+        if not total[context]:
+            return lower
+        return (max(table[gram] - d[min(table[gram], 3)], 0) + sum(d[k] * after[context][k] for k in (1, 2, 3)) * lower) / total[context]
+
+    def p(a, b, c):
+        return interpolated(triples, after3, total3, d3, (a, b, c), interpolated(pairs, after2, total2, d2, (b, c), single(c)))
 
     for i, w in data:
         tokens = [*w, None]
         base = sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens)
         r = rows[i, len(tokens), round(base, 6)]
         assert r["held_out"] == (crc(i) % 10 == 0) and r["train_tokens"] == n and r["n_known"] == sum(counts[x] > 0 for x in tokens)
-        assert abs(r["score"] - sum(math.log10(p(a, b)) for a, b in zip([False, *w], tokens, strict=True))) < 1e-6
-    for a in (False, "alpha", "never seen"):
-        assert abs(sum(p(a, b) for b in counts) + p(a, "never seen") - 1) < 1e-9
+        assert abs(r["score"] - sum(math.log10(p(*g)) for g in zip([False, False, *w], [False, *w], tokens, strict=False))) < 1e-6
+    for a, b in ((False, False), (False, "alpha"), ("alpha", "beta"), ("never seen", "beta"), ("beta", "never seen")):
+        assert abs(sum(p(a, b, c) for c in counts) + p(a, b, "never seen") - 1) < 1e-9
     assert ngram_lm.train_and_score(empty).count() == 0
     assert ngram_lm.score(docs, ngram_lm.train(empty)).filter("score <> 0").count() == 0
 
