@@ -52,6 +52,8 @@ NODE_PAIRS, BRANCHES, LEVELS = 1 << 25, 3, 3
 FIRST_TREES = 2
 #: Members on either side of a tile.
 TILE = 2048
+#: Partners of a class in one part of the join that confirms them.
+STAR = 256
 #: Candidate pairs of a tile from which a matrix may count intersections, and the operations it may take for each.
 MATRIX_PAIRS, MATRIX_FLOPS_A_PAIR = 20_000, 200_000
 #: Shingles in a file of sets.
@@ -310,7 +312,10 @@ def n_trees(percent: int, recall: float) -> int:
     below it in all but (1 - percent / 100) ** BRANCHES of the cases a level."""
     s = percent / 100
     keeps = s * (1 - (1 - s) ** BRANCHES) ** (LEVELS - 1)
-    return min(CHOICES, math.ceil(math.log(1 - recall) / math.log(1 - keeps)))
+    trees = math.ceil(math.log(1 - recall) / math.log(1 - keeps))
+    if trees > CHOICES:
+        raise ValueError(f"a recall of {recall} at {percent} % takes {trees} trees; there are tokens for {CHOICES}")
+    return trees
 
 
 def _text_key(text: Column) -> Column:
@@ -339,33 +344,41 @@ class Join:
         return stash(self.texts(cids).mapInArrow(frugal(_sets), "cid long, shingles array<long>").dropDuplicates(["cid"]), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) of classes whose full sets are alike enough."""
-        sizes = self.classes.select("cid", "n")
-        pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-        pairs = stash(pairs.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).select("a", "b"), "pairs")
+        """Those pairs (a, b) of classes whose full sets are alike enough.
+
+        An a of many partners is spread: its set goes once to each of its parts, of STAR partners on average.
+        """
+        pairs = stash(pairs, "pairs")
         if pairs.isEmpty():
             return pairs
+        wide = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")).filter("parts > 1")
+        wide = bounded(stash(wide, "wide"), BROADCAST_ROWS)
+        parts = F.coalesce("parts", F.lit(1))
+        pairs = pairs.join(wide, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
         sets = self.sets(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))))
-        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        set_a = sets.toDF("a", "set_a").join(wide, "a", "left").select("a", "set_a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        both = pairs.join(set_a, ["a", "part"]).join(sets.toDF("b", "set_b"), "b")
         shared = F.size(F.array_intersect("set_a", "set_b"))
         return stash(both.withColumn("shared", shared).filter(100 * F.col("shared") >= self.percent * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b"), "links")
 
     def roots(self) -> DataFrame:
         """node, cid, b0, b1: the members of the trees' first nodes, where there are two or more."""
         trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees(self.percent, self.recall) - 1)))
-        rows = self.classes.select("cid", "b0", "b1", "tokens", trees.alias("tree")).select(F.xxhash64("tree", F.element_at("tokens", F.col("tree") + 1)).alias("node"), "tree", "cid", "b0", "b1")
+        rows = self.classes.select("cid", "n", "b0", "b1", "tokens", trees.alias("tree")).select(F.xxhash64("tree", F.element_at("tokens", F.col("tree") + 1)).alias("node"), "tree", "cid", "n", "b0", "b1")
         return self.crowded(rows)
 
     def crowded(self, rows: DataFrame) -> DataFrame:
+        """Members of nodes that have two or more, with their node's first member, the pivot."""
         sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("cid").alias("pivot")).filter("m > 1")
-        return stash(rows.join(sizes, "node"), "nodes")
+        pivots = self.classes.select(F.col("cid").alias("pivot"), F.col("n").alias("p_n"), F.col("b0").alias("p0"), F.col("b1").alias("p1"))
+        return stash(rows.join(sizes.join(pivots, "pivot"), "node"), "nodes")
 
     def stars(self, nodes: DataFrame) -> DataFrame:
         """Confirmed links between members and their node's first member."""
-        pivots = self.classes.select(F.col("cid").alias("pivot"), F.col("b0").alias("p0"), F.col("b1").alias("p1"))
         apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("p0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("p1")))
-        pairs = nodes.filter("cid <> pivot").select("cid", "pivot", "b0", "b1").distinct().join(pivots, "pivot").filter(apart <= _most_apart(self.percent))
-        return self.confirmed(pairs.select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
+        sizes = 100 * F.least("n", "p_n") >= self.percent * F.greatest("n", "p_n")
+        pairs = nodes.filter((F.col("cid") != F.col("pivot")) & (apart <= _most_apart(self.percent)) & sizes)
+        return self.confirmed(pairs.select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct())
 
     def across(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """Confirmed links (a, b) that connect members of a node that labels (vertex, label) puts in different
