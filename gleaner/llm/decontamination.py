@@ -1,21 +1,23 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-The training words are cut into shards of bounded size. Each shard sorts its suffixes (places where a text
-goes on with words that the benchmark has) by their first WINDOW words, and every suffix of every benchmark
-item is searched in that array by bisection; equal suffixes stand together, so one search finds all places. A
-match of WINDOW words, or of a whole shorter item, is an occurrence; occurrences in a row on one diagonal are
-one verbatim match, as long as it lasts.
+The training words are cut into shards of bounded size. Each shard sorts its suffixes by their first WINDOW
+words, and every suffix of every benchmark item is searched in that array by bisection; equal suffixes stand
+together, so one search finds all places. A match of WINDOW words, or of a whole shorter item, is an
+occurrence. Occurrences that follow each other both in the text and in the item lie on one diagonal and are one
+longest verbatim match: it can't go on to either side. Its place in the text, in the item and its length are
+returned, and documents with matches can be removed.
 
 Shards are slices of the scan, so nothing is shuffled and a lost task is redone alone. The benchmark is sent
-to the executors in blocks of at most BLOCK_BYTES of text each; with more than one block the findings of a
-document are brought together by its row.
+to the executors in blocks of at most BLOCK_BYTES of text each, with a scan of the documents for each block;
+with more than one block the findings of a document are brought together by its row.
 
 Suffixes whose first two words never follow each other in the benchmark can't match more than one word; they
-are left out of the arrays, unless an item is that one word.
+are left out of the arrays, unless an item is that one word. So are words that the benchmark lacks.
 
 Cases: null and empty texts have no words, and an item without words occurs nowhere. Items that repeat an id
-are one item; a null id is written as the empty text. Repeated rows are rows of their own. No match crosses
-the end of a text. An empty benchmark leaves all documents clean; empty documents give no rows.
+are one item, whose texts are matched each for itself; a null id is written as the empty text. Repeated rows are
+rows of their own. No match crosses the end of a text. An empty benchmark leaves all documents clean; empty
+documents give no rows.
 """
 
 from __future__ import annotations
@@ -125,6 +127,24 @@ class Benchmark:
         return lengths, starts, suffixes[np.repeat(low[found], count) + nth], np.repeat(found, count)
 
 
+    def matches(self, starts: np.ndarray, places: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Longest matches, sorted: text, item, first word in the text, first word in the item, words."""
+        count = self.runs[windows + 1] - self.runs[windows]
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        window, place = np.repeat(windows, count), np.repeat(places, count)
+        which = self.runs[window] + nth
+        item, offset = self.owner[which], self.offset[which]
+        doc = np.searchsorted(starts, place, "right") - 1
+        at = place - starts[doc]
+        order = np.lexsort((at, at - offset, item, doc))
+        doc, item, at, offset, size = (x[order] for x in (doc, item, at, offset, self.size[window]))
+        joined = np.zeros(len(at), bool)
+        joined[1:] = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (at[1:] == at[:-1] + 1) & (offset[1:] == offset[:-1] + 1)
+        first = np.flatnonzero(~joined)
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        return doc[first], item[first], at[first], offset[first], at[last] - at[first] + size[last]
+
+
 def _covered(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of the runs that begin at places: begins and ends of what is covered."""
     order = np.argsort(places, kind="stable")
@@ -134,26 +154,39 @@ def _covered(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return begin[new], end[last]
 
 
+_RUN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+_MATCH = pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())])
+_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(_RUN)), ("items", pa.list_(pa.string())), ("matches", pa.list_(_MATCH))])
+_FOUND_TYPES = "row long, doc_id long, n_words long, runs array<struct<start:bigint,stop:bigint>>, items array<string>, matches array<struct<item_id:string,start:bigint,item_start:bigint,words:bigint>>"
+
+
+def _lists(doc: np.ndarray, n: int, values: list[pa.Array], kind: pa.StructType) -> pa.ListArray:
+    """The structs of each of n texts, for structs in order of their texts."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(values, kind, strict=True)], fields=list(kind)))
+
+
 def _scan(benchmark):
-    """Rows (row, doc_id, n_words, runs, items): what a block of the benchmark covers of each text."""
-    run_type = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(run_type)), ("items", pa.list_(pa.string()))])
+    """What a block of the benchmark covers of each text, and its longest matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Benchmark = benchmark.value
         for batch in batches:
             for part in slices(batch, "text", 4000, SHARD_BYTES):
                 lengths, starts, places, windows = block.search(part.column("text"))
+                n = len(lengths)
                 begin, end = _covered(places, block.size[windows] if len(windows) else places)
                 doc = np.searchsorted(starts, begin, "right") - 1
-                runs: list[list] = [[] for _ in lengths]
-                for d, a, b in zip(doc.tolist(), (begin - starts[doc]).tolist(), (end - starts[doc]).tolist(), strict=True):
-                    runs[d].append({"start": a, "stop": b})
-                items: list[set] = [set() for _ in lengths]
-                pairs = np.unique(np.stack([np.searchsorted(starts, places, "right") - 1, windows]), axis=1) if len(places) else np.zeros((2, 0), int)
-                for d, w in pairs.T.tolist():
-                    items[d].update(block.names[i] for i in block.owner[block.runs[w] : block.runs[w + 1]].tolist())
-                yield pa.record_batch([part.column("row"), part.column("doc_id"), pa.array(lengths), pa.array(runs, schema.field("runs").type), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], schema=schema)
+                runs = _lists(doc, n, [pa.array(begin - starts[doc]), pa.array(end - starts[doc])], _RUN)
+                if len(windows):
+                    doc, item, at, offset, words = block.matches(starts, places, windows)
+                else:
+                    doc, item, at, offset, words = (np.zeros(0, np.int64) for _ in range(5))
+                names = pa.array(block.names, pa.string()).take(pa.array(item))
+                items: list[set] = [set() for _ in range(n)]
+                for d, name in zip(doc.tolist(), names.to_pylist(), strict=True):
+                    items[d].add(name)
+                matches = _lists(doc, n, [names, pa.array(at), pa.array(offset), pa.array(words)], _MATCH)
+                yield pa.record_batch([part.column("row"), part.column("doc_id"), pa.array(lengths), runs, pa.array([sorted(x) for x in items], pa.list_(pa.string())), matches], schema=_FOUND)
 
     return run
 
@@ -175,19 +208,20 @@ def _length(runs: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """For every row of docs (doc_id, text): doc_id, n_words, n_hit, runs (of covered words, start to stop) and
-    items (ids, sorted as strings) of the benchmark (item_id, text)."""
+    """For every row of docs (doc_id, text): doc_id, n_words, n_hit, runs (of covered words, start to stop), items
+    (ids, sorted as strings) of the benchmark (item_id, text), and matches (item_id, start, item_start, words): the
+    longest verbatim matches with their places, counted in words from 0."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "row long, doc_id long, n_words long, runs array<struct<start:bigint,stop:bigint>>, items array<string>"
-    parts = [rows.mapInArrow(frugal(_scan(spark.sparkContext.broadcast(block))), schema) for block in _blocks(benchmark, window)]
+    parts = [rows.mapInArrow(frugal(_scan(spark.sparkContext.broadcast(block))), _FOUND_TYPES) for block in _blocks(benchmark, window)]
     found = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
             found = found.unionByName(part.filter(F.size("runs") > 0))
-        found = found.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.select("doc_id", "n_words", _length(F.col("runs")).alias("n_hit"), "runs", "items")
+        gathered = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        found = found.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), gathered("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), gathered("matches"))
+    return found.select("doc_id", "n_words", _length(F.col("runs")).alias("n_hit"), "runs", "items", "matches")
 
 
 def _keep_clean(benchmark):
@@ -210,25 +244,3 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WIND
     for block in _blocks(benchmark, window):
         docs = docs.mapInArrow(frugal(_keep_clean(spark.sparkContext.broadcast(block))), docs.schema)
     return docs
-
-
-def longest_matches(items: list[tuple[str, str]], texts: list[str | None], *, window: int = WINDOW) -> list[tuple[int, str, int, int, int]]:
-    """Verbatim matches in one shard: (text, item, first word in the text, first word in the item, words).
-
-    Occurrences that follow each other both in the text and in the item are one match.
-    """
-    block = Benchmark(items, window)
-    _, starts, places, windows = block.search(pa.array(texts, pa.string()))
-    found = []
-    for place, w in sorted(zip(places.tolist(), windows.tolist(), strict=True)):
-        doc = int(np.searchsorted(starts, place, "right")) - 1
-        for k in range(block.runs[w], block.runs[w + 1]):
-            found.append((doc, int(block.owner[k]), place - int(starts[doc]), int(block.offset[k]), int(block.size[w])))
-    found.sort(key=lambda m: (m[0], m[1], m[2] - m[3], m[2]))
-    matches: list[list] = []
-    for doc, item, at, offset, size in found:
-        if matches and matches[-1][:2] == [doc, item] and matches[-1][2] - matches[-1][3] == at - offset and at <= matches[-1][2] + matches[-1][4] - size + 1:
-            matches[-1][4] = at - matches[-1][2] + size
-        else:
-            matches.append([doc, item, at, offset, size])
-    return [(d, block.names[i], a, o, n) for d, i, a, o, n in matches]

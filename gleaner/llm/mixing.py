@@ -69,7 +69,7 @@ def source_targets(totals: DataFrame, weights: Sequence[float], max_epochs: int)
 
 
 def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken and source for every row of docs (doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken, source and tie (a hash of the text) for every row of docs (doc_id, text, source)."""
     text = F.col("text")
     rows = stash(
         docs.select(
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, max_epochs: int
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), F.when(~F.col("src_null"), F.col("src")).alias("source"))
+    return rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), F.when(~F.col("src_null"), F.col("src")).alias("source"), "tie")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -104,9 +104,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Documents that the mix takes no word of are left out.
     """
     columns = docs.columns
-    copies = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("gleaner_id"), F.col("source").alias("gleaner_source"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("gleaner_copies"))
-    # rows that repeat an id count once here: their copies are summed and dealt back evenly
-    copies = copies.groupBy("gleaner_id").agg(F.sum("gleaner_copies").alias("gleaner_copies"), F.count("*").alias("gleaner_rows"))
-    # a document can be drawn while another row of its id isn't; each row of the id then gets its share, rounded up
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("gleaner_id")))
+    copies = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("gleaner_id"), F.col("source").alias("gleaner_source"), F.col("tie").alias("gleaner_tie"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("gleaner_copies"))
+    # rows of the same id, source and text can't be told apart: their copies are summed and shared evenly, rounded up
+    key = ["gleaner_id", "gleaner_source", "gleaner_tie"]
+    copies = copies.groupBy(*key).agg(F.sum("gleaner_copies").alias("gleaner_copies"), F.count("*").alias("gleaner_rows"))
+    own = [F.col("doc_id"), F.col("source").cast("string"), F.xxhash64("text")]
+    joined = docs.join(copies, [a.eqNullSafe(F.col(b)) for a, b in zip(own, key, strict=True)])
     return joined.withColumn("gleaner_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("gleaner_copies") / F.col("gleaner_rows")).cast("int")))).select(*columns)

@@ -95,25 +95,31 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 
 OP6 = f"""
 WITH b AS (
-  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOW}, '{_LETTERS}') AS words FROM benchmark
+  SELECT item, words, row_number() OVER () AS r
+  FROM (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOW}, '{_LETTERS}') AS words, text FROM benchmark)
 ), w AS (
-  SELECT DISTINCT item, size, words[i : i + size - 1] AS grams
-  FROM (SELECT item, words, least(10, len(words)) AS size, unnest(generate_series(1, len(words) - least(10, len(words)) + 1)) AS i FROM b WHERE len(words) > 0)
+  SELECT item, r, size, o, words[o : o + size - 1] AS grams
+  FROM (SELECT item, r, words, least(10, len(words)) AS size, unnest(generate_series(1, len(words) - least(10, len(words)) + 1)) AS o FROM b WHERE len(words) > 0)
 ), d AS (
   SELECT doc_id, regexp_extract_all({_LOW}, '{_LETTERS}') AS words FROM documents
 ), p AS (
   SELECT doc_id, words, unnest(generate_series(1, len(words))) AS i FROM d
 ), m AS (
-  SELECT p.doc_id, p.i, w.size, w.item
+  SELECT p.doc_id, p.i, w.size, w.item, w.r, w.o
   FROM (SELECT DISTINCT size FROM w) AS s JOIN p ON p.i + s.size - 1 <= len(p.words) JOIN w ON w.size = s.size AND w.grams = p.words[p.i : p.i + s.size - 1]
 ), h AS (
-  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS pos FROM m) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS pos FROM m) GROUP BY doc_id
 ), t AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+), g AS (
+  SELECT doc_id, max(i) - min(i) + any_value(size) AS words
+  FROM (SELECT doc_id, r, i, o, size, i - row_number() OVER (PARTITION BY doc_id, r, i - o ORDER BY i) AS run FROM m) GROUP BY doc_id, r, i - o, run
+), l AS (
+  SELECT doc_id, count(*) AS n_matches, max(words) AS longest FROM g GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
-  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, coalesce(l.n_matches, 0) AS n_matches, CAST(coalesce(l.longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
 _WORDS = f"regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+')"

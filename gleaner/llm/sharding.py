@@ -1,8 +1,10 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are shuffled within their source by a seeded hash and ranked; a row's place is its rank as a fraction of
-its source's rows. Sorted by that fraction all sources advance together, so cutting the sorted rows into equal
-runs gives shards that each hold every source in the proportion of the whole. Runs differ by one row at most.
+its source's rows, and each source begins at a phase of its own within its first step, so that many small
+sources don't share a place. Sorted by place all sources advance together, so cutting the sorted rows into
+equal runs gives shards that each hold every source in the proportion of the whole. Runs differ by one row at
+most.
 
 Ranks come from bucket counts, so neither a large source nor the whole table is sorted in one task.
 
@@ -25,7 +27,7 @@ SEED = 29
 
 
 def shard(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, source, shard and slot for every row of docs (doc_id, text, source)."""
+    """doc_id, size, text_crc32, source, shard, slot and tie (a hash of the text) for every row of docs (doc_id, text, source)."""
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = stash(
         docs.select(
@@ -45,19 +47,21 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED) -> DataFra
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
     rows = rows.join(bounded(totals), src).withColumn("bucket", F.least(F.floor(F.col("u") * buckets), buckets - 1))
     rows = sum_before(rows, src, "bucket", [F.col("u"), F.col("doc_id"), F.col("tie")], one, "rank")
-    rows = rows.withColumn("place", (F.col("rank") + 0.5) / F.col("n"))
+    rows = rows.withColumn("place", (F.col("rank") + uniform(seed + 1, F.col("src_null"), F.col("src"))) / F.col("n"))
     cells = max(1, math.ceil(n / BUCKET_ROWS))
     rows = rows.drop("bucket").withColumn("all", F.lit(0)).withColumn("cell", F.least(F.floor(F.col("place") * cells), F.lit(cells - 1)))
     rows = sum_before(rows, ["all"], "cell", [F.col("place"), F.col("src_null"), F.col("src")], one, "at")
     cut = F.expr(f"(at * {shards}L) div {max(n, 1)}L")
     rows = rows.withColumn("shard", cut.cast("int"))
     slot = F.expr(f"at - (shard * {n}L + {shards - 1}L) div {shards}L")
-    return rows.select("doc_id", "size", "text_crc32", F.when(~F.col("src_null"), F.col("src")).alias("source"), "shard", slot.cast("long").alias("slot"))
+    return rows.select("doc_id", "size", "text_crc32", F.when(~F.col("src_null"), F.col("src")).alias("source"), "shard", slot.cast("long").alias("slot"), "tie")
 
 
 def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Write docs under path as shard=K folders. Rows that repeat an id all go to that id's first shard."""
-    plan = shard(docs, shards=shards, seed=seed).groupBy("doc_id").agg(F.min(F.struct("shard", "slot")).alias("at"))
-    plan = plan.select(F.col("doc_id").alias("gleaner_id"), F.col("at.shard").alias("shard"), F.col("at.slot").alias("gleaner_slot"))
-    rows = docs.drop("shard").join(plan, F.col("doc_id").eqNullSafe(F.col("gleaner_id"))).drop("gleaner_id")
+    """Write docs under path as shard=K folders. Rows of the same id, source and text all go to their first shard."""
+    key = [F.col("doc_id"), F.col("source").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))]
+    plan = shard(docs, shards=shards, seed=seed).groupBy("doc_id", "source", "tie").agg(F.min(F.struct("shard", "slot")).alias("at"))
+    plan = plan.select(F.col("doc_id").alias("gleaner_id"), F.col("source").alias("gleaner_source"), F.col("tie").alias("gleaner_tie"), F.col("at.shard").alias("gleaner_shard"), F.col("at.slot").alias("gleaner_slot"))
+    same = [a.eqNullSafe(F.col(b)) for a, b in zip(key, ("gleaner_id", "gleaner_source", "gleaner_tie"), strict=True)]
+    rows = docs.join(plan, same).drop("gleaner_id", "gleaner_source", "gleaner_tie", "shard").withColumnRenamed("gleaner_shard", "shard")
     rows.repartition("shard", F.floor(F.col("gleaner_slot") / BUCKET_ROWS)).sortWithinPartitions("shard", "gleaner_slot").drop("gleaner_slot").write.partitionBy("shard").parquet(path)

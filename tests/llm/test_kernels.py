@@ -89,10 +89,44 @@ def test_windows_found(seed):
     assert sum(end - begin) == sum(len(h) for _, h, _ in got)
 
 
+def longest_matches(items, texts):
+    block = decontamination.Benchmark(items, 10)
+    _, starts, places, windows = block.search(pa.array(texts, pa.string()))
+    return [tuple(int(x) for x in m) for m in zip(*block.matches(starts, places, windows), strict=True)]
+
+
+def brute_matches(items, texts):
+    """All pairs of places, extended as far as they go."""
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for d, text in enumerate(map(low, texts)):
+        for k, (_, item) in enumerate(items):
+            words = low(item)
+            for i in range(len(text)):
+                for j in range(len(words)):
+                    if i and j and text[i - 1] == words[j - 1]:
+                        continue
+                    n = 0
+                    while i + n < len(text) and j + n < len(words) and text[i + n] == words[j + n]:
+                        n += 1
+                    if n and n >= min(10, len(words)):
+                        out.append((d, k, i, j, n))
+    return sorted(out)
+
+
 def test_longest_match():
     item = " ".join(f"w{i}" for i in range(40))
     text = "x y " + " ".join(f"w{i}" for i in range(5, 30)) + " z " + " ".join(f"w{i}" for i in range(12))
-    assert decontamination.longest_matches([("i", item)], [None, text]) == [(1, "i", 2, 5, 25), (1, "i", 28, 0, 12)]
+    assert longest_matches([("i", item)], [None, text]) == [(1, 0, 2, 5, 25), (1, 0, 28, 0, 12)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_matches(seed):
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choices(["a", "b", "cé"], k=n))
+    items = [(str(i), words(rng.choice([0, 1, 3, 9, 10, 12, 30]))) for i in range(6)]
+    texts = [words(rng.randint(0, 50)) for _ in range(8)] + ["q " + items[-1][1] + " a b " + items[0][1], None, ""]
+    assert sorted(longest_matches(items, texts)) == brute_matches(items, texts)
 
 
 def test_empty_benchmark():
