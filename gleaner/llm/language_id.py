@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import bounded, crc_mod, frugal, slices, uniform
@@ -181,6 +181,9 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int = SEED
         return None
     wanted = max(8, min(per_language, TEXTS // n_languages))
     sample = labelled.join(bounded(counts), "lang").filter(uniform(seed, F.col("doc_id")) < F.lit(float(wanted)) / F.col("n"))
+    # about as many as wanted by their ids; no more, however often an id is repeated
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id")
+    sample = sample.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= wanted)
     piece = F.explode(F.array(*[F.lit(k) for k in range(WINDOWS_PER_TEXT)]))
     place = lambda: (uniform(seed + 1, F.col("doc_id"), F.col("piece")) * F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
     rows = sample.withColumn("piece", piece).select("lang", "doc_id", "piece", F.col("text").substr(place(), F.lit(WINDOW)).alias("text"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded, crc_mod, uniform
+from gleaner.llm.common import crc_mod, stash, uniform
 
 THRESHOLD = 0.3
 #: The bound of the training sample, in rows.
@@ -198,10 +198,11 @@ def fit(x: np.ndarray, y: np.ndarray, *, seed: int = SEED) -> Ensemble:
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int = SEED) -> Ensemble:
     """Learn labels.quality of docs (doc_id, text) from a sample of so many labelled rows."""
     marks = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("labelled"), F.col("quality").cast("double").alias("quality"))
-    n = marks.count()
-    chosen = marks.filter(uniform(seed, F.col("labelled")) < F.lit(sample / max(n, 1)))
-    rows = docs.select("doc_id", "text").join(bounded(chosen, 4 * sample), F.col("doc_id") == F.col("labelled"))
-    table = statistics(rows, F.col("doc_id").alias("doc_id"), F.col("quality").alias("quality")).orderBy("doc_id", "quality", *STATISTICS).toArrow()  # numbers only
+    chosen = stash(marks.orderBy(uniform(seed, F.col("labelled")), "labelled", "quality").limit(sample), "labels")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    table = statistics(rows, F.col("doc_id").alias("doc_id"), F.col("quality").alias("quality"))
+    # numbers only, and no more rows than the sample, however often an id is repeated
+    table = table.orderBy(F.xxhash64("doc_id", *STATISTICS), "doc_id", "quality", *STATISTICS).limit(sample).toArrow()
     x = np.stack([table.column(k).to_numpy() for k in STATISTICS], axis=1) if table.num_rows else np.zeros((0, len(STATISTICS)))
     return fit(x, table.column("quality").to_numpy())
 

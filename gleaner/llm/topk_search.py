@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import stash
 from gleaner.session import ship
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 16384
 CANDIDATE_BLOCK = 16384
 
 
