@@ -11,13 +11,8 @@ NAMES = ["new", "waxing crescent", "first quarter", "waxing gibbous", "full", "w
 
 
 def day_number(ts: Column) -> Column:
-    """The Julian day of a civil date. Divisions cut towards zero."""
-    month = F.month(ts)
-    year = F.year(ts) - F.floor((12 - month) / 10)
-    shifted = (month + 9) % 12
-    julian = F.floor(365.25 * (year + 4712)) + F.floor(30.6 * shifted + 0.5) + F.dayofmonth(ts) + 59
-    century = F.floor(F.floor(year / 100 + 49) * 0.75) - 38
-    return F.when(julian > 2299160, julian - century).otherwise(julian)
+    """The Julian day of a civil date: days since 1970-01-01, which is day 2440588."""
+    return F.unix_date(F.to_date(ts)) + F.lit(2440588)
 
 
 def moon(ts: Column) -> Column:

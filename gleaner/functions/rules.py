@@ -59,12 +59,26 @@ def provider(wave: Column, mode: Column, wish: Column, first: str = "claude", se
     return F.when(F.coalesce(wish, F.lit("auto")).isin("auto", ""), F.when(inventive, second).otherwise(first)).otherwise(wish)
 
 
-def vow(surprise: Column) -> Column:
-    """Sampling constraint for a level of surprise: calm above 0.7, teaching otherwise."""
-    words = lambda *w: F.array(*map(F.lit, w))
-    calm = F.struct(F.lit("calm").alias("name"), F.lit(0.5).alias("temperature"), words("fatal", "error", "impossible", "deny").alias("suppress"), words("fix", "simple", "safe", "step-by-step").alias("boost"))
-    teaching = F.struct(F.lit("teaching").alias("name"), F.lit(1.2).alias("temperature"), words("maybe", "I feel", "just").alias("suppress"), words("therefore", "optimal", "structure", "logic").alias("boost"))
-    return F.when(surprise > 0.7, calm).otherwise(teaching)
+#: The two constraints by level of surprise: name, wanted state, words to suppress, words to boost,
+#: temperature.
+CONSTRAINTS = {
+    "high": ("Abhaya (Fearlessness)", "Calm", ["fatal", "error", "impossible", "deny"], ["fix", "simple", "safe", "step-by-step"], 0.5),
+    "low": ("Desana (Teaching)", "Insight", ["maybe", "I feel", "just"], ["therefore", "optimal", "structure", "logic"], 1.2),
+}
+
+
+def vow(surprise: Column, constraints: dict[str, tuple] = CONSTRAINTS) -> Column:
+    """The sampling constraint (name, state, suppress, boost, temperature) for a level of surprise: high above 0.7."""
+    fields = ("name", "state", "suppress", "boost", "temperature")
+    made = {level: F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(k) for k, v in zip(fields, values, strict=True)]) for level, values in constraints.items()}
+    return F.when(surprise > 0.7, made["high"]).otherwise(made["low"])
+
+
+def non_negative(value: float, name: str) -> float:
+    """The value, if it is not under 0."""
+    if value < 0:
+        raise ValueError(f"{name} must not be negative, but is {value}")
+    return value
 
 
 def n_tokens(query: Column) -> Column:
@@ -88,8 +102,16 @@ def essence(query: Column) -> Column:
 
 
 def council(query: Column) -> Column:
-    """The verdict of all rules: a veto ends it, otherwise it is approved."""
-    return veto(query)
+    """(verdict, adviser, essence): the advisers are heard in order, and the first that rejects ends it.
+
+    An adviser that asks to clarify doesn't end it; what all of them let pass is approved.
+    """
+    rejected = veto(query) == "REJECT"
+    return F.struct(
+        F.when(rejected, "REJECT").otherwise("APPROVE").alias("verdict"),
+        F.when(rejected, "safety").when(ambiguity(query) == "CLARIFY", "ambiguity").alias("adviser"),
+        essence(query).alias("essence"),
+    )
 
 
 def reasoner(complexity: Column, available: Sequence[str] = ("adaptive", "theoretical", "hyper")) -> Column:
@@ -101,3 +123,9 @@ def reasoner(complexity: Column, available: Sequence[str] = ("adaptive", "theore
 def cache_key(*values: Column) -> Column:
     """Twelve hex digits that stand for the rounded values."""
     return F.substring(F.md5(F.concat_ws("|", *[F.format_number(v, 3) for v in values])), 1, 12)
+
+
+def reasoning_vector(wave: Column, moon_phase: Column, illumination: Column, entropy: Column, complexity: Column) -> Column:
+    """The eight biases of a request: its mood's four parts, the moon's phase and light (per cent), an entropy and
+    the complexity."""
+    return F.concat(wave, F.array(moon_phase, illumination / 100.0, entropy, complexity))
