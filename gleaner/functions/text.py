@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,16 +50,24 @@ def code_points(text: Column, dim: int) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: (F.ascii(c) % dim).cast("int"))
 
 
-def character_counts(text: Column, dim: int) -> Column:
-    """How many characters have each code point modulo dim: every different character is counted once, by what
-    the text loses without it."""
-    def counts(t: Column) -> Column:
-        different = F.array_distinct(F.filter(F.split(t, ""), lambda c: c != ""))
-        each = F.transform(different, lambda c: F.struct((F.ascii(c) % dim).alias("bucket"), (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("double").alias("n")))
-        total = lambda e, k: F.aggregate(e, F.lit(0.0), lambda a, x: a + F.when(x["bucket"] == k, x["n"]).otherwise(0.0))
-        return _bound(each, lambda e: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: total(e, k)))
-
-    return _bound(text, counts)
+def character_counts(text: Column, dim: int, *, normal: bool = False) -> Column:
+    """How many characters have each code point modulo dim, an array of doubles; nulls have no characters. With
+    normal the array is divided by its length, TINY at least.
+
+    Whole batches are counted at once: their code points are one numpy array.
+    """
+    def counts(texts: pa.Array) -> pa.Array:
+        texts = pc.fill_null(texts, "")
+        sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        found = np.bincount(row * dim + points % dim, minlength=dim * len(texts)).astype(float)
+        if normal:
+            rows = found.reshape(-1, dim)
+            found = (rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), TINY)).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(found))
+
+    return F.arrow_udf(counts, "array<double>")(text)
 
 
 def normalised(counts: Column, *, floor: float = TINY, add: float = 0.0) -> Column:

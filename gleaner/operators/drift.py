@@ -6,6 +6,8 @@ group (a stream, a user, a day) wherever the input is large.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,32 +63,59 @@ def alerts(df: DataFrame, order: str, metrics: list[str], *, warning: float = 0.
     """(metric, order, previous, current, delta, severity): changes of a metric from one row to the next of at
     least the warning size, unless the metric's last alert is more recent than the cool-down.
 
-    The cool-down depends on the last alert, not the last change, so changes are folded in order; only rows
-    with a change that is large enough are folded.
+    A change that comes a cool-down or more after the change before it is an alert whatever came earlier, so
+    changes are cut into runs there, and only a run is folded in order.
     """
     keys = [*(group or []), "metric"]
     long = df.select(*(group or []), order, F.explode(F.create_map(*[c for m in metrics for c in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "current"))
-    rows = long.withColumn("previous", F.lag("current").over(Window.partitionBy(*keys).orderBy(order))).withColumn("delta", F.col("current") - F.col("previous"))
+    along = Window.partitionBy(*keys).orderBy(order)
+    rows = long.withColumn("previous", F.lag("current").over(along)).withColumn("delta", F.col("current") - F.col("previous"))
     rows = rows.filter(F.abs("delta") >= warning)
-    change = F.struct(F.col(order).alias("at"), "previous", "current", "delta")
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(change)).alias("changes"))
     wait = F.expr(f"INTERVAL {cooldown}")
+    apart = F.coalesce(F.col(order) >= F.lag(order).over(along) + wait, F.lit(True))
+    rows = rows.withColumn("gleaner_run", F.sum(apart.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    change = F.struct(F.col(order).alias("at"), "previous", "current", "delta")
+    folded = rows.groupBy(*keys, "gleaner_run").agg(F.array_sort(F.collect_list(change)).alias("changes"))
     raised = F.aggregate("changes", F.slice("changes", 1, 0), lambda kept, c: F.when((F.size(kept) == 0) | (c["at"] >= F.element_at(kept, -1)["at"] + wait), F.concat(kept, F.array(c))).otherwise(kept))
     out = folded.select(*keys, F.explode(raised).alias("a")).select(*keys, F.col("a.at").alias(order), "a.previous", "a.current", "a.delta")
     return out.withColumn("severity", F.when(F.abs("delta") >= critical, "critical").otherwise("warning"))
 
 
+#: Rows of a block whose prefixes are folded.
+SMOOTHED_BLOCK = 64
+
+
 def smoothed(df: DataFrame, x: str, order: str, *, keep: float = 0.55, start: float = 0.25, group: list[str] | None = None, name: str = "smoothed") -> DataFrame:
-    """Add keep * last + (1 - keep) * x, row after row from a start, for one group's rows in order."""
-    along = Window.partitionBy(*(group or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.aggregate(F.collect_list(x).over(along), F.lit(float(start)), lambda s, v: s * keep + v * (1 - keep)))
+    """Add keep * last + (1 - keep) * x, row after row from a start, for one group's rows in order.
+
+    Rows are folded inside short blocks from zero; the blocks' ends are folded likewise with keep to the power of
+    the block's length, and each row adds its share of what the blocks before it left. Blocks that lie so far
+    back that their share is under the least double are not visited.
+    """
+    keys = [*(group or [])]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    rows = df.withColumn("gleaner_i", place).withColumn("gleaner_block", F.floor(F.col("gleaner_i") / SMOOTHED_BLOCK)).withColumn("gleaner_j", F.col("gleaner_i") % SMOOTHED_BLOCK + 1)
+    inside = Window.partitionBy(*keys, "gleaner_block").orderBy("gleaner_i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("gleaner_own", F.aggregate(F.collect_list(x).over(inside), F.lit(0.0), lambda s, v: s * keep + v * (1 - keep)))
+    whole = keep**SMOOTHED_BLOCK
+    reach = math.ceil(745 / -math.log(whole)) if 0 < whole < 1 else 1
+    ends = rows.filter(F.col("gleaner_j") == SMOOTHED_BLOCK).select(*keys, (F.col("gleaner_block") + 1).alias("gleaner_block"), "gleaner_own")
+    back = Window.partitionBy(*keys).orderBy("gleaner_block").rowsBetween(1 - reach, 0)
+    carried = F.aggregate(F.collect_list("gleaner_own").over(back), F.lit(0.0), lambda s, v: s * whole + v) + start * F.pow(F.lit(whole), F.col("gleaner_block"))
+    ends = ends.select(*keys, "gleaner_block", carried.alias("gleaner_carried"))
+    before = F.when(F.col("gleaner_block") == 0, float(start)).otherwise(F.col("gleaner_carried"))
+    out = rows.join(ends, [*keys, "gleaner_block"], "left").withColumn(name, F.col("gleaner_own") + F.pow(F.lit(float(keep)), F.col("gleaner_j")) * before)
+    return out.select(*df.columns, name) if name not in df.columns else out.select(*df.columns)
 
 
 def outer_product_memory(df: DataFrame, vector: str, success: str, order: str, *, rate: float, decay: float = 0.98, failed: float = 0.5) -> DataFrame:
     """(i, j, w): sum of rate * x x' for successes and -failed * rate * x x' for failures, all decayed by every
-    later row and the row itself. The decay has a closed form, so nothing is folded in order."""
-    place = Window.orderBy(F.desc(order))
-    rows = df.select(vector, success, (F.row_number().over(place)).alias("age"))
+    later row and the row itself. The decay has a closed form, so nothing is folded in order, and rows so far
+    back that it is under the least double add nothing and are left out, which bounds what is ordered."""
+    last = math.ceil(745 / -math.log(decay)) if 0 < decay < 1 else None
+    rows = df.select(vector, success, order)
+    rows = rows.orderBy(F.desc(order)).limit(last) if last else rows
+    rows = rows.select(vector, success, F.row_number().over(Window.orderBy(F.desc(order))).alias("age"))
     weight = F.when(F.col(success), rate).otherwise(-failed * rate) * F.pow(F.lit(decay), F.col("age"))
     a = rows.select(weight.alias("c"), F.col(vector).alias("v"), F.posexplode(vector).alias("i", "a"))
     return a.select("c", "i", "a", F.posexplode("v").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("c") * F.col("a") * F.col("b")).alias("w"))
@@ -100,24 +129,25 @@ def liveness(df: DataFrame, x: str, order: str, *, bound: float = 10.0, size: in
     return df.withColumn("health", F.when(F.isnan(v) | (F.abs(v) == float("inf")), "not_finite").when(F.abs(v) > bound, "out_of_bounds").when(stalled, "stalled").otherwise("healthy"))
 
 
-def turn_monitor(df: DataFrame, vector: str, order: str, dims: int, *, size: int = 50, least: int = 20, every: int = 20, drift_at: float = 1.5, surprise_at: float = 2.0) -> DataFrame:
-    """(order, drift, surprise, suggestion) of each turn of one conversation.
+def turn_monitor(df: DataFrame, vector: str, order: str, dims: int, *, size: int = 50, least: int = 20, every: int = 20, drift_at: float = 1.5, surprise_at: float = 2.0, group: list[str] | None = None) -> DataFrame:
+    """(group, order, drift, surprise, suggestion) of each turn of every conversation (group).
 
     The baseline is the first half of the turns, twenty at least, as of the last turn whose number is a
     multiple of twenty; running sums by turn give its moments without folding.
     """
-    turns = df.select(order, vector, F.row_number().over(Window.orderBy(order)).alias("t"))
-    cells = turns.select("t", F.posexplode(vector).alias("pos", "x"))
-    run, last = Window.partitionBy("pos").orderBy("t"), Window.partitionBy("pos").orderBy("t").rowsBetween(1 - size, 0)
-    ten = Window.partitionBy("pos").orderBy("t").rowsBetween(-9, 0)
-    cells = cells.select("t", "pos", "x", F.sum("x").over(run).alias("s1"), F.sum(F.col("x") * F.col("x")).over(run).alias("s2"), F.avg("x").over(last).alias("wm"), F.stddev_pop("x").over(last).alias("ws"), F.stddev_pop("x").over(ten).alias("rs"))
+    keys = [*(group or [])]
+    turns = df.select(*keys, order, vector, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).alias("t"))
+    cells = turns.select(*keys, "t", F.posexplode(vector).alias("pos", "x"))
+    run = Window.partitionBy(*keys, "pos").orderBy("t")
+    last, ten = run.rowsBetween(1 - size, 0), run.rowsBetween(-9, 0)
+    cells = cells.select(*keys, "t", "pos", "x", F.sum("x").over(run).alias("s1"), F.sum(F.col("x") * F.col("x")).over(run).alias("s2"), F.avg("x").over(last).alias("wm"), F.stddev_pop("x").over(last).alias("ws"), F.stddev_pop("x").over(ten).alias("rs"))
     refit = F.greatest(F.lit(least), F.floor(F.col("t") / every) * every)
     until = F.greatest(F.lit(20), F.floor(refit / 2)).cast("int")
-    marks = cells.select(F.col("pos").alias("bpos"), F.col("t").alias("bt"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    both = cells.withColumn("until", until).join(marks, (F.col("pos") == F.col("bpos")) & (F.col("until") == F.col("bt")))
+    marks = cells.select(*keys, "pos", F.col("t").alias("until"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    both = cells.withColumn("until", until).join(marks, [*keys, "pos", "until"])
     mean = F.col("b1") / F.col("until")
     std = F.greatest(F.sqrt(F.greatest(F.col("b2") / F.col("until") - mean * mean, F.lit(0.0))), F.lit(1e-6))
-    sums = both.filter(F.col("t") >= least).groupBy("t").agg(F.avg(F.abs(F.col("wm") - mean) / std).alias("drift"), F.avg(F.abs(F.col("x") - F.col("wm")) / F.greatest("ws", F.lit(1e-6))).alias("surprise"), (F.sum("rs") / 5).alias("variety"))
-    rows = turns.select(order, "t").join(sums, "t", "left")
+    sums = both.filter(F.col("t") >= least).groupBy(*keys, "t").agg(F.avg(F.abs(F.col("wm") - mean) / std).alias("drift"), F.avg(F.abs(F.col("x") - F.col("wm")) / F.greatest("ws", F.lit(1e-6))).alias("surprise"), (F.sum("rs") / 5).alias("variety"))
+    rows = turns.select(*keys, order, "t").join(sums, [*keys, "t"], "left")
     suggestion = F.when(F.col("variety") < 0.05, "sleep").when((F.col("surprise") > surprise_at) & (F.col("surprise") > 3.0), "hyper")
-    return rows.select(order, F.coalesce("drift", F.lit(0.0)).alias("drift"), F.coalesce("surprise", F.lit(0.0)).alias("surprise"), suggestion.alias("suggestion"), (F.coalesce("drift", F.lit(0.0)) > drift_at).alias("drifting"))
+    return rows.select(*keys, order, F.coalesce("drift", F.lit(0.0)).alias("drift"), F.coalesce("surprise", F.lit(0.0)).alias("surprise"), suggestion.alias("suggestion"), (F.coalesce("drift", F.lit(0.0)) > drift_at).alias("drifting"))

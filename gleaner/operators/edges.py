@@ -118,3 +118,51 @@ def causal_retrieval(docs: DataFrame, edges: DataFrame, context, similarity: Col
     ahead = edges.filter(F.col("dst") == context).select(F.col("src").alias("ahead")).distinct()
     score = similarity + F.when(F.col("ahead").isNotNull(), boost).otherwise(0.0) - F.when(F.col("karma") < -0.5, penalty).otherwise(0.0)
     return docs.join(ahead, F.col("id") == F.col("ahead"), "left").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def added(edges: DataFrame, src, dst, relation: str, strength: float = 1.0) -> DataFrame:
+    """Typed edges with one more, the latest in order."""
+    seq = edges.agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).alias("seq"))
+    new = seq.select(F.lit(src).alias("src"), F.lit(dst).alias("dst"), F.lit(relation).alias("relation"), F.lit(strength).alias("strength"), "seq")
+    return edges.select("src", "dst", "relation", "strength", "seq").unionByName(new)
+
+
+# conductances of a crossbar: (src, dst, g)
+
+G_MIN, G_MAX = 1e-6, 1e-3
+
+
+def programmed(edges: DataFrame, *, bits: int = 0) -> DataFrame:
+    """Conductances of weights: G_MAX times the weight, on a grid of 2^bits steps from G_MIN if bits is given."""
+    g = F.col("w") * G_MAX
+    if bits:
+        step = (G_MAX - G_MIN) / 2**bits
+        g = F.signum(g) * (F.rint((F.abs(g) - G_MIN) / step) * step + G_MIN)
+    return edges.filter(F.abs("w") >= 1e-10).select("src", "dst", g.alias("g"))
+
+
+def weights_of(cells: DataFrame) -> DataFrame:
+    return cells.filter(F.abs("g") >= 1e-10).select("src", "dst", (F.col("g") / G_MAX).alias("w"))
+
+
+def currents(cells: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(id, y): the sum of conductance times input (id, v) at every output."""
+    return cells.join(inputs, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("g") * F.col("v")).alias("y")).select(F.col("dst").alias("id"), "y")
+
+
+def hebbian(cells: DataFrame, before: DataFrame, after: DataFrame, rate: float) -> DataFrame:
+    """Conductances moved by rate * before * after (id, v) and cut to their range on either side of zero. Every
+    pair of an active input and an active output is a cell, so both sides are as small as the crossbar's."""
+    active = lambda t, a, b: t.filter(F.abs("v") >= 1e-8).select(F.col("id").alias(a), F.col("v").alias(b))
+    moved = active(before, "src", "a").join(active(after, "dst", "b")).select("src", "dst", (rate * F.col("a") * F.col("b")).alias("change"))
+    both = cells.join(moved, ["src", "dst"], "full").withColumn("new", F.coalesce("g", F.lit(0.0)) + F.coalesce("change", F.lit(0.0)))
+    size = F.least(F.greatest(F.abs("new"), F.lit(G_MIN)), F.lit(G_MAX))
+    g = F.when(F.col("change").isNull(), F.col("g")).otherwise(F.signum("new") * size)
+    return both.select("src", "dst", g.alias("g")).filter(F.abs("g") > 1e-15)
+
+
+def crossbar_stats(cells: DataFrame, rows: int, cols: int) -> DataFrame:
+    """One row: all cells, those that conduct, and the sum, mean and greatest of their conductances."""
+    g = F.abs("g")
+    on = cells.filter(g > 1e-10)
+    return on.agg(F.lit(rows * cols).cast("long").alias("cells"), F.count("*").alias("active"), F.coalesce(F.sum(g), F.lit(0.0)).alias("total"), F.coalesce(F.avg(g), F.lit(0.0)).alias("mean"), F.coalesce(F.max(g), F.lit(0.0)).alias("most"))

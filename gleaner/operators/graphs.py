@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.operators.edges import without_loops
-from gleaner.plans.scratch import stash
+from gleaner.operators import kernels
+from gleaner.operators.edges import symmetric, without_loops
+from gleaner.plans.scratch import discard, stash
+from gleaner.session import ship
+
+
+#: Tables of levels that a search reads side by side.
+TABLES = 8
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -19,16 +28,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     links = without_loops(edges).select("src", "dst")
     links = stash(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
-    labels = stash(nodes.select("id", F.col("id").alias("component")), "labels")
+    labels = labels_table = stash(nodes.select("id", F.col("id").alias("component")), "labels")
     while True:
         near = links.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("near"))
         new = labels.join(near, F.col("id") == F.col("src"), "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = labels.toDF("to", "further")
         new = new.join(jump, F.col("component") == F.col("to"), "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component"))
         new = stash(new, "labels")
+        discard(labels_table)
         if new.filter("was <> component").isEmpty():
             return new.select("id", "component")
-        labels = new.select("id", "component")
+        labels, labels_table = new.select("id", "component"), new
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -78,15 +88,21 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
     ends when the frontier is empty, or at max_depth where the caller gives one.
     """
     links = stash(without_loops(edges).select("src", "dst").distinct(), "links")
-    seen = stash(starts.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("depth")), "reach")
-    frontier = seen
+    levels = [stash(starts.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("depth")), "reach")]
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = frontier.join(links, F.col("id") == F.col("dst")).select("start", F.col("src").alias("id")).distinct()
-        frontier = stash(step.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+        step = levels[-1].join(links, F.col("id") == F.col("dst")).select("start", F.col("src").alias("id")).distinct()
+        seen = reduce(DataFrame.unionByName, levels)
+        level = stash(step.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        if level.isEmpty():
+            discard(level)
             break
-        seen = stash(seen.unionByName(frontier), "reach")
-    return seen.filter("depth > 0")
+        levels.append(level)
+        if len(levels) > TABLES:  # one table of those before, so that a long chain's plans stay short
+            old = levels[:-1]
+            levels = [stash(reduce(DataFrame.unionByName, old), "reach"), level]
+            for table in old:
+                discard(table)
+    return reduce(DataFrame.unionByName, levels).filter("depth > 0")
 
 
 def impact(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -99,6 +115,47 @@ def impact(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("reached", F.lit(0)).alias("reached"), share.alias("share"), F.coalesce("depth", F.lit(0)).alias("depth"), (share > 0.5).alias("bottleneck"))
 
 
+def deleteability_by_flow(nodes: DataFrame, edges: DataFrame, *, precision: float = 5.0, leak: float = 1.0, steps: int = 50, limit: int = 2000) -> DataFrame:
+    """(id, deleteability): 1 - the size of the response to a unit input at the node, over the greatest response.
+
+    A flow stays in its component, so each component is one task; one of more than limit nodes is an error.
+    """
+    ship(nodes.sparkSession)
+    both = symmetric(edges)
+    scale = 1 / (1 + (both.groupBy("src").agg(F.abs(F.sum("w")).alias("s")).agg(F.coalesce(F.max("s"), F.lit(0.0))).first()[0]))
+    owner = stash(components(nodes, edges), "components")
+    links = both.join(owner.toDF("o", "own"), F.col("src") == F.col("o")).select("own", "src", "dst", "w")
+
+    def run(key: tuple, own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if len(own) > limit:
+            raise ValueError(f"a component has {len(own)} nodes; one task takes {limit}")
+        ids = np.sort(own["id"].to_numpy())
+        w = np.zeros((len(ids), len(ids)))
+        w[np.searchsorted(ids, rows["src"]), np.searchsorted(ids, rows["dst"])] = rows["w"]
+        response = [np.linalg.norm(kernels.settle(lambda g, i=i: (np.arange(len(ids)) == i) + scale * (w @ g) - g, len(ids), precision=precision, leak=leak, dt=0.01, steps=steps, stop=1e-4).v) for i in range(len(ids))]
+        return pd.DataFrame({"id": ids, "response": response})
+
+    found = stash(owner.groupBy("component").cogroup(links.groupBy("own")).applyInPandas(run, "id long, response double"), "responses")
+    top = found.agg(F.max("response").alias("top"))
+    return found.crossJoin(F.broadcast(top)).select("id", F.when(F.col("top") > 1e-15, 1 - F.col("response") / F.col("top")).otherwise(1.0).alias("deleteability"))
+
+
+def evaluation(nodes: DataFrame, edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row on a whole graph: mean isolation, precision, mean deleteability, and overall, their geometric mean,
+    which is 0 where one isn't positive."""
+    a = isolation(nodes, edges, clusters).agg(F.avg("isolation").alias("isolation"))
+    b = precision_topology(nodes, edges, clusters)
+    c = deleteability(nodes, edges).agg(F.avg("deleteability").alias("deleteability"))
+    parts = [F.col(x) for x in ("isolation", "precision", "deleteability")]
+    overall = F.when(F.least(*parts) > 0, F.pow(parts[0] * parts[1] * parts[2], F.lit(1 / 3))).otherwise(0.0)
+    return a.crossJoin(b).crossJoin(c).withColumn("overall", overall)
+
+
+def compared(graphs: dict[str, tuple[DataFrame, DataFrame, DataFrame]]) -> DataFrame:
+    """The evaluations of several graphs (nodes, edges, clusters), a row for each name."""
+    return reduce(DataFrame.unionByName, [evaluation(*g).select(F.lit(name).alias("name"), "*") for name, g in graphs.items()])
+
+
 def change_set(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(id): direct dependents of any changed node that aren't changed themselves."""
     hit = edges.join(changed.select(F.col("id").alias("c")), F.col("dst") == F.col("c")).select(F.col("src").alias("id")).distinct()

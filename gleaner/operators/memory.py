@@ -82,3 +82,21 @@ def consolidated(memory: DataFrame, *, strong: float = 0.5, rate: float = 0.01,
     columns = ["id", "pattern", "strength"]
     all_ = memory.select(*columns[:1], doubles(F.col("pattern")).alias("pattern"), "strength").unionByName(replay.select("id", doubles(F.col("pattern")).alias("pattern"), "strength")).unionByName(blend)
     return decayed(all_, rate, floor)
+
+
+def folded_cue(text: str, n: int) -> list[float]:
+    """The low bits of a text's code points, added up in n places round and round, over their greatest."""
+    cue = np.zeros(n)
+    np.add.at(cue, np.arange(len(text)) % n, [ord(c) & 1 for c in text])
+    return (cue / (cue.max() + 1e-12) if cue.max() > 0 else cue).tolist()
+
+
+def search_by_text(memory: DataFrame, text: str, k: int = 5, *, capacity: int = 200) -> DataFrame:
+    """(id, similarity): the k patterns nearest to what the memory recalls for a text."""
+    first = memory.select(F.size("pattern").alias("n")).first()
+    if first is None:
+        return memory.sparkSession.createDataFrame([], "id long, similarity double")
+    cue = memory.sparkSession.createDataFrame([(0, folded_cue(text, first["n"]))], "cue long, pattern array<double>")
+    state = recalled(memory, cue, capacity=capacity).select(F.col("state").alias("gleaner_state"))  # one row
+    rows = memory.crossJoin(F.broadcast(state))
+    return rows.select("id", cosine(doubles(F.col("pattern")), F.col("gleaner_state")).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)

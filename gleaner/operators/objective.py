@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import doubles, relevance
-from gleaner.operators import kernels
+from gleaner.operators import graphs, kernels
 from gleaner.operators.edges import purified, quadratic_form
 from gleaner.operators.ranking import mean_cosine
 from gleaner.session import ship
@@ -152,6 +152,34 @@ class Given(Term):
         return Part(LINEAR, candidates.join(self.values.select("id", F.col(self.column).alias("g")), "id", "left").select("id", (self.weight * F.coalesce("g", F.lit(0.0))).alias("h")))
 
 
+@dataclass
+class Tied(Term):
+    """weight * (1 - deleteability): nodes that much hangs on cost more."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    weight: float = 1.0
+
+    def build(self, candidates: DataFrame) -> Part:
+        values = graphs.deleteability(self.nodes, self.edges).select("id", (1 - F.col("deleteability")).alias("g"))
+        return Given(values, "g", self.weight).build(candidates)
+
+
+@dataclass
+class Central(Term):
+    """-weight * (1 - degree / the greatest degree)."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    weight: float = 1.0
+
+    def build(self, candidates: DataFrame) -> Part:
+        degree = graphs.degrees(self.nodes, self.edges).select("id", (F.col("out_w") + F.col("in_w")).alias("d"))
+        rows = degree.crossJoin(F.broadcast(degree.agg(F.max("d").alias("top"))))
+        share = F.when(F.col("top") > 1e-15, F.col("d") / F.col("top")).otherwise(0.0)
+        return Given(rows.select("id", (share - 1).alias("g")), "g", self.weight).build(candidates)
+
+
 @dataclass
 class Objective:
     linear: DataFrame
@@ -185,7 +213,7 @@ def route(kinds: set[str], has_couplings: bool, override: str | None = None) ->
         return "top_k"
     if FRUSTRATED in kinds or {SUBMODULAR, SUPERMODULAR} <= kinds:
         return "ising_sa"
-    return "sa" if SUPERMODULAR in kinds else "greedy"
+    return "warm_sa" if SUPERMODULAR in kinds else "greedy"
 
 
 def solve(objective: Objective, k: int, *, method: str | None = None, limit: int = 4096, seed: int = 0) -> DataFrame:
@@ -208,17 +236,44 @@ def solve_groups(linear: DataFrame, couplings: DataFrame, k: int, *, method: str
     ship(linear.sparkSession)
 
     def run(key: tuple, h: pd.DataFrame, J: pd.DataFrame) -> pd.DataFrame:
-        h = h.sort_values("id").reset_index(drop=True)
-        place = pd.Series(h.index, index=h["id"])
-        J = J[J["src"].isin(place.index) & J["dst"].isin(place.index)]
-        dense = np.zeros((len(h), len(h)))
-        np.add.at(dense, (place[J["src"]].to_numpy(), place[J["dst"]].to_numpy()), J["w"].to_numpy())
-        x = kernels.SOLVERS[method](kernels.Problem(h["h"].to_numpy(), dense, gamma, k), seed)
+        h, p = problem_of(h, J, gamma, k)
+        x = kernels.SOLVERS[method](p, seed)
         return h.loc[x > 0.5, ["problem", "id", "h"]]
 
     return linear.groupBy("problem").cogroup(couplings.groupBy("problem")).applyInPandas(run, linear.select("problem", "id", "h").schema)
 
 
+def run_all(linear: DataFrame, couplings: DataFrame, k: int, methods: list[str], *, gamma: float = 0.0, seed: int = 0) -> DataFrame:
+    """(problem, method, energy, ids): every method's selection of each problem, side by side."""
+    ship(linear.sparkSession)
+
+    def run(key: tuple, h: pd.DataFrame, J: pd.DataFrame) -> pd.DataFrame:
+        h, p = problem_of(h, J, gamma, k)
+        out = []
+        for method in methods:
+            x = kernels.SOLVERS[method](p, seed)
+            out.append((key[0], method, p.energy(x), h["id"].to_numpy()[x > 0.5].tolist()))
+        return pd.DataFrame(out, columns=["problem", "method", "energy", "ids"])
+
+    return linear.groupBy("problem").cogroup(couplings.groupBy("problem")).applyInPandas(run, f"problem {dict(linear.dtypes)['problem']}, method string, energy double, ids array<long>")
+
+
+def best_of_all(runs: DataFrame) -> DataFrame:
+    """Of run_all's rows, each problem's of least energy; the first method by name wins ties."""
+    first = F.row_number().over(Window.partitionBy("problem").orderBy("energy", "method"))
+    return runs.withColumn("place", first).filter("place = 1").drop("place")
+
+
+def problem_of(h: pd.DataFrame, J: pd.DataFrame, gamma: float, k: int) -> tuple[pd.DataFrame, kernels.Problem]:
+    """A problem's rows by id, and the problem; couplings to others' candidates are left out."""
+    h = h.sort_values("id").reset_index(drop=True)
+    place = pd.Series(h.index, index=h["id"])
+    J = J[J["src"].isin(place.index) & J["dst"].isin(place.index)]
+    dense = np.zeros((len(h), len(h)))
+    np.add.at(dense, (place[J["src"]].to_numpy(), place[J["dst"]].to_numpy()), J["w"].to_numpy())
+    return h, kernels.Problem(h["h"].to_numpy(), dense, gamma, k)
+
+
 def evaluate(selected: DataFrame, linear: DataFrame, couplings: DataFrame, gamma: float) -> DataFrame:
     """One row: the energy of a selection (id)."""
     ones = selected.select("id", F.lit(1.0).alias("v"))

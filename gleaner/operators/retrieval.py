@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import dense, ngram_buckets
-from gleaner.functions.vectors import cosine, doubles, relevance
+from gleaner.functions.text import dense, joined_fields, ngram_buckets
+from gleaner.functions.vectors import cosine, doubles, relevance, unit
 from gleaner.operators import kernels
+from gleaner.operators.ranking import neighbours, similarity_graph
+from gleaner.plans.scratch import stash
 from gleaner.session import ship
 
 
@@ -111,8 +113,62 @@ def search_and_rerank(corpus: DataFrame, query: Column, n: int, k: int, *, id_co
     return rerank(rows.orderBy(F.desc("relevance"), "id").limit(n), k, **options)
 
 
+def fit_offline(corpus: DataFrame, near: int = 20, *, id_col: str = "id", vector: str = "v") -> tuple[DataFrame, DataFrame]:
+    """The stored form of a corpus: (id, v) and its similarity graph (src, dst, w), both written once."""
+    rows = stash(corpus.select(F.col(id_col).cast("long").alias("id"), doubles(F.col(vector)).alias("v")), "corpus")
+    return rows, stash(similarity_graph(neighbours(rows, near)), "corpus-graph")
+
+
+def rerank_online(stored: tuple[DataFrame, DataFrame], query: Column, fetched: DataFrame, k: int, *, alpha: float = 1.0, beta: float = 0.5) -> DataFrame:
+    """(id, rank, relevance): k of the fetched (id), chosen greedily over the part of the stored graph that lies
+    between them. Only the fetched rows and their edges are read into the task."""
+    rows, graph = stored
+    ship(rows.sparkSession)
+    ids = fetched.select(F.col("id").cast("long").alias("f")).distinct()
+    own = rows.join(ids, F.col("id") == F.col("f"), "left_semi").select("id", relevance(query, F.col("v")).alias("relevance"))
+    inside = graph.join(ids, F.col("src") == F.col("f"), "left_semi").join(ids, F.col("dst") == F.col("f"), "left_semi")
+
+    def run(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("id").reset_index(drop=True)
+        place = pd.Series(own.index, index=own["id"])
+        g = np.zeros((len(own), len(own)))
+        g[place[links["src"]].to_numpy(), place[links["dst"]].to_numpy()] = links["w"].to_numpy()
+        order, _ = kernels.facility_greedy(own["relevance"].to_numpy(), g, k, alpha=alpha, beta=beta)
+        order = sorted(order, key=lambda i: (-own["relevance"][i], i))
+        return own.loc[order, ["id", "relevance"]].assign(rank=np.arange(1, len(order) + 1))[["id", "rank", "relevance"]]
+
+    one = lambda t: t.withColumn("query", F.lit(0)).groupBy("query")
+    return one(own).cogroup(one(inside)).applyInPandas(run, "id long, rank long, relevance double")
+
+
+def embedded(docs: DataFrame, embed, *, text: str = "text", name: str = "vector") -> DataFrame:
+    """docs with the vectors that a caller's function of a list of texts gives, called once for each batch."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v, float).tolist() for v in embed(texts.fillna("").tolist())])
+
+    return docs.withColumn(name, F.pandas_udf(run, "array<double>")(F.col(text)))
+
+
+def rerank_nodes(nodes: DataFrame, query: Column, k: int, **options) -> DataFrame:
+    """Retrieved nodes (id, v) reranked by one of rerank's methods."""
+    rows = nodes.select(F.lit(0).alias("query"), "id", doubles(F.col("v")).alias("v"))
+    return rerank(rows.withColumn("relevance", relevance(query, F.col("v"))), k, **options)
+
+
+def select_examples(examples: DataFrame, query: str, k: int, *, fields: list[str] = ("input", "question", "output"), **options) -> DataFrame:
+    """The k examples (id, record map) that serve a query text; their texts are joined fields."""
+    return compressed(examples.select("id", joined_fields(F.col("record"), list(fields)).alias("text")), query, k, **options)
+
+
+def rerank_outputs(outputs: DataFrame, query: str, k: int, **options) -> DataFrame:
+    """The k candidate answers (id, text) to a query text."""
+    return compressed(outputs, query, k, **options)
+
+
 def compressed(docs: DataFrame, query: str, k: int, *, id_col: str = "id", text: str = "text", n: int = 200, **options) -> DataFrame:
-    """The k documents of a result that serve a query text, by hashed n-gram vectors."""
+    """The k documents of a result that serve a query text, by hashed n-gram vectors: the n most relevant are a
+    first stage, k of them are chosen for relevance and diversity."""
     asked = docs.sparkSession.range(1).select("id", F.lit(query).alias("text"))
     q = text_vectors(asked, "id").select(F.col("vector").alias("q"))
     rows = text_vectors(docs.select(id_col, text), id_col, text).crossJoin(F.broadcast(q)).select(F.lit(0).alias("query"), F.col(id_col).alias("id"), F.col("vector").alias("v"), F.greatest(cosine(F.col("vector"), F.col("q")), F.lit(0.0)).alias("relevance"))
@@ -123,8 +179,11 @@ def context_quality(selected: DataFrame, corpus_topics: DataFrame) -> DataFrame:
     """One row on a selection (id, topic, relevance, v): topics covered of all (topic), mean relevance, mean
     cosine between different members, and topics for each member."""
     rows = selected.select("id", "topic", "relevance", doubles(F.col("v")).alias("v"))
-    other = rows.select(F.col("id").alias("o_id"), F.col("v").alias("o_v"))
-    pairs = rows.join(F.broadcast(other), F.col("id") < F.col("o_id")).agg(F.coalesce(F.avg(cosine(F.col("v"), F.col("o_v"))), F.lit(0.0)).alias("redundancy"))
+    # the mean over pairs from the sum of unit vectors: (|sum|^2 - sum of |u|^2) / (n (n - 1))
+    cells = rows.select("id", F.posexplode(unit(F.col("v"))).alias("pos", "x"))
+    sums = cells.groupBy("pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).agg(F.sum(F.col("s") * F.col("s")).alias("whole"), F.sum("q").alias("own"))
+    count = rows.agg(F.count("*").alias("m"))
+    pairs = sums.crossJoin(count).select(F.when(F.col("m") > 1, (F.col("whole") - F.col("own")) / (F.col("m") * (F.col("m") - 1))).otherwise(0.0).alias("redundancy"))
     own = rows.agg(F.countDistinct("topic").alias("topics"), F.avg("relevance").alias("relevance"), F.count("*").alias("n"))
     total = corpus_topics.agg(F.countDistinct("topic").alias("all_topics"))
     return own.crossJoin(pairs).crossJoin(total).select("topics", (F.col("topics") / F.col("all_topics")).alias("coverage"), "relevance", "redundancy", (F.col("topics") / F.col("n")).alias("efficiency"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,43 @@ def estimates(keys: DataFrame, key: str, sketch: DataFrame, *, width: int = 2048
     return keys.crossJoin(F.broadcast(sketch.select(F.col("cells").alias("gleaner_cells")))).withColumn("estimate", least).drop("gleaner_cells")
 
 
+def merged(*stored: DataFrame) -> DataFrame:
+    """One count-min sketch of several stored ones of the same width, depth and seed: cells are added."""
+    cells = reduce(DataFrame.unionByName, stored).select(F.explode("cells").alias("cell", "n")).groupBy("cell").agg(F.sum("n").alias("n"))
+    return cells.agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("cells"))
+
+
+def frequencies(keys: DataFrame, key: str, sketch: DataFrame, **options) -> DataFrame:
+    """keys with estimate and frequency, the estimate over the number of rows that were counted."""
+    depth = options.get("depth", 5)
+    total = sketch.select((F.aggregate(F.map_values("cells"), F.lit(0).cast("long"), lambda a, n: a + n) / depth).alias("gleaner_total"))
+    rows = estimates(keys, key, sketch, **options).crossJoin(F.broadcast(total))
+    return rows.withColumn("frequency", F.when(F.col("gleaner_total") > 0, F.col("estimate") / F.col("gleaner_total")).otherwise(0.0)).drop("gleaner_total")
+
+
+def merged_bins(*stored: DataFrame, bins: int = 64) -> DataFrame:
+    """(center, n): a histogram of at most so many bins from several stored ones: bins of the same center are
+    added, then neighbours are merged by rank until there are no more than wanted."""
+    rows = reduce(DataFrame.unionByName, stored).groupBy("center").agg(F.sum("n").alias("n"))
+    size = rows.count()
+    if size <= bins:
+        return rows
+    place = F.floor((F.row_number().over(Window.orderBy("center")) - 1) * bins / size)  # bounded: a few bins each
+    cells = rows.withColumn("cell", place).groupBy("cell").agg((F.sum(F.col("center") * F.col("n")) / F.sum("n")).alias("center"), F.sum("n").alias("n"))
+    return cells.select("center", "n")
+
+
+def surprise_of(df: DataFrame, x: Column, bins: DataFrame, name: str = "surprise") -> DataFrame:
+    """Add -ln of a value's probability by a histogram of bounded size; outside it the nearest bin counts."""
+    packed_bins = packed(bins).select(F.col("b").alias("gleaner_b"), F.col("total").alias("gleaner_n"), F.col("span").alias("gleaner_span"), F.col("size").alias("gleaner_size"))
+    rows = df.crossJoin(F.broadcast(packed_bins))
+    b, n = F.col("gleaner_b"), F.col("gleaner_n")
+    low, high = F.element_at(b, 1)["center"], F.element_at(b, -1)["center"]
+    p = probability(F.least(F.greatest(x, low), high), b, n, F.col("gleaner_span"), F.col("gleaner_size"))
+    p = F.when((n < 2) | (F.col("gleaner_size") < 2), 1e-10).otherwise(p)
+    return rows.withColumn(name, -F.log(p)).drop("gleaner_b", "gleaner_n", "gleaner_span", "gleaner_size")
+
+
 def sizes_for(error: float, confidence: float) -> tuple[int, int]:
     """Width and depth for an error as a share of the total, at a confidence."""
     return math.ceil(math.e / error), math.ceil(math.log(1 / (1 - confidence)))
