@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import calendar, rules, text, vectors
 from gleaner.operators import drift, edges, graphs, memory, objective, profile, ranking, retrieval, sketches, surprise
 from gleaner.plans import select as plans
+from gleaner.plans.scratch import scratch_path, stash
+from gleaner.streaming import scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -292,10 +294,10 @@ def similarity_graph(spark, d):
     return knn_graph(spark, d).select("src", "dst", r6("w").alias("w"))
 
 
-@query(f"WITH {KNN}, {QUERY_VECTOR}, r AS (SELECT vec_id, least(greatest({DOT.format('v', 'qv')} / ({NORM.format('v')} * {NORM.format('qv')}), 0), 1) AS rel FROM e, q WHERE vec_id % 2 = 0) SELECT src, dst, round(w * coalesce(a.rel, 0) * coalesce(b.rel, 0), 6) + 0 AS w FROM g LEFT JOIN r AS a ON a.vec_id = src LEFT JOIN r AS b ON b.vec_id = dst")
+@query(f"WITH {KNN}, {QUERY_VECTOR}, r AS (SELECT vec_id, least(greatest({DOT.format('v', 'qv')} / ({NORM.format('v')} * {NORM.format('qv')}), 0), 1) AS rel FROM e, q WHERE label <> 2) SELECT src, dst, round(w * coalesce(a.rel, 0) * coalesce(b.rel, 0), 6) + 0 AS w FROM g LEFT JOIN r AS a ON a.vec_id = src LEFT JOIN r AS b ON b.vec_id = dst")
 def conditioned_graph(spark, d):
-    """The graph weighted by the relevance of both ends; odd rows have no relevance here."""
-    rel = t(spark, d, "embeddings").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), vectors.relevance(query_vector(spark, d), vectors.doubles(F.col("embedding"))).alias("rel"))
+    """The graph weighted by the relevance of both ends; rows of one label have no relevance here."""
+    rel = t(spark, d, "embeddings").filter("label <> 2").select(F.col("vec_id").alias("id"), vectors.relevance(query_vector(spark, d), vectors.doubles(F.col("embedding"))).alias("rel"))
     return edges.conditioned(knn_graph(spark, d), rel).select("src", "dst", r6("w").alias("w"))
 
 
@@ -312,11 +314,11 @@ def approximate_neighbours(spark, d):
 
 # ---- matrices ------------------------------------------------------------------------------------------
 
-EDGE = "j AS (SELECT l_suppkey AS src, l_partkey % 97 AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY 1, 2)"
+EDGE = "j AS (SELECT l_suppkey AS src, l_partkey AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY 1, 2)"
 
 
 def supply_edges(spark, d) -> DataFrame:
-    return t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 97).alias("dst")).agg(F.count("*").cast("double").alias("w"))
+    return t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").cast("double").alias("w"))
 
 
 @query(f"WITH {EDGE} SELECT src, dst, w * 0.5 AS w FROM j WHERE src < 50 AND dst < 50 AND src <> dst")
@@ -335,10 +337,10 @@ def symmetric_edges(spark, d):
 
 
 def part_vector(spark, d) -> DataFrame:
-    return t(spark, d, "part").filter("p_partkey < 97").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("v"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("v"))
 
 
-VEC = "v AS (SELECT p_partkey AS id, p_retailprice AS v FROM part WHERE p_partkey < 97)"
+VEC = "v AS (SELECT p_partkey AS id, p_retailprice AS v FROM part)"
 
 
 @query(f"WITH {EDGE}, {VEC} SELECT src AS id, round(sum(w * v), 4) AS y FROM j JOIN v ON id = dst GROUP BY 1")
@@ -387,9 +389,9 @@ def predecessors(spark, d):
     return edges.predecessors(typed_edges(spark, d)).select("dst", F.array_join("predecessors", ",").alias("predecessors"))
 
 
-@query(f"WITH {TYPED} SELECT relation, string_agg(printf('%s (strength=%.2f)', src, strength), '; ' ORDER BY seq) AS origins FROM x WHERE dst = 'click' AND seq < 500 GROUP BY 1")
+@query(f"WITH {TYPED} SELECT relation, string_agg(printf('%s (strength=%.2f)', src, strength), '; ' ORDER BY seq) AS origins FROM x WHERE dst = 'click' GROUP BY 1")
 def origins_by_relation(spark, d):
-    return edges.origins(typed_edges(spark, d).filter("seq < 500"), "click")
+    return edges.origins(typed_edges(spark, d), "click")
 
 
 @query(f"""WITH {VECS}, {QUERY_VECTOR}, s AS (SELECT vec_id AS id, {DOT.format('v', 'qv')} + CASE WHEN vec_id % 11 = 3 THEN 0.5 ELSE 0 END - CASE WHEN (vec_id % 5) / 2.0 - 1 < -0.5 THEN 0.3 ELSE 0 END AS s FROM e, q)
@@ -403,20 +405,18 @@ def causal_retrieval(spark, d):
 # ---- graphs --------------------------------------------------------------------------------------------
 
 #: A dependency graph: a part depends on some parts of smaller number, so that chains and islands appear.
-GRAPH = "n AS (SELECT p_partkey AS id FROM part WHERE p_partkey <= 120), x AS (SELECT id AS src, CAST(id // 2 AS BIGINT) AS dst, 1.0::DOUBLE + id % 3 AS w FROM n WHERE id % 10 <> 0 AND id > 1 UNION ALL SELECT id, id - 7, 0.5::DOUBLE FROM n WHERE id % 6 = 5 AND id > 7)"
+GRAPH = "n AS (SELECT p_partkey AS id FROM part), x AS (SELECT id AS src, CAST(id // 2 AS BIGINT) AS dst, 1.0::DOUBLE + id % 3 AS w FROM n WHERE id % 10 <> 0 AND id > 1 UNION ALL SELECT id, id - 7, 0.5::DOUBLE FROM n WHERE id % 6 = 5 AND id > 7)"
 
 
 def dependency_graph(spark, d) -> tuple[DataFrame, DataFrame]:
-    nodes = t(spark, d, "part").filter("p_partkey <= 120").select(F.col("p_partkey").alias("id"))
+    nodes = t(spark, d, "part").select(F.col("p_partkey").alias("id"))
     a = nodes.filter("id % 10 <> 0 and id > 1").select(F.col("id").alias("src"), F.floor(F.col("id") / 2).alias("dst"), (1.0 + F.col("id") % 3).alias("w"))
     return nodes, a.unionByName(nodes.filter("id % 6 = 5 and id > 7").select(F.col("id").alias("src"), (F.col("id") - 7).alias("dst"), F.lit(0.5).alias("w")))
 
 
-COMPONENTS = "l AS (SELECT src AS a, dst AS b FROM x UNION SELECT dst, src FROM x), rc AS (SELECT id AS a, id AS b FROM n UNION SELECT rc.a, l.b FROM rc JOIN l ON l.a = rc.b), c AS (SELECT a AS id, min(b) AS component FROM rc GROUP BY 1)"
-
-
-@query(f"WITH RECURSIVE {GRAPH}, {COMPONENTS} SELECT id, component FROM c")
+@query()
 def connected_components(spark, d):
+    """Compared with a plain search in the tests; recursive SQL would make all pairs of a component."""
     return graphs.components(*dependency_graph(spark, d))
 
 
@@ -528,21 +528,22 @@ def metric_trend(spark, d):
     return graphs.trend(history(spark, d), "day", "a").select(r6("slope").alias("slope"), "direction")
 
 
-@query("""WITH l AS (SELECT user_id, event_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta, ts FROM events)
+@query("""WITH l AS (SELECT user_id, event_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS delta FROM events)
 SELECT user_id, event_id, round(delta, 6) AS delta, CASE WHEN abs(delta) >= 30 THEN 'critical' ELSE 'warning' END AS severity FROM l WHERE abs(delta) >= 10""")
 def metric_changes(spark, d):
-    """Alerts without a cool-down."""
-    ordered = t(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
-    change = F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = ordered.withColumn("delta", change).filter(F.abs("delta") >= 10)
-    return rows.select("user_id", "event_id", r6("delta").alias("delta"), F.when(F.abs("delta") >= 30, "critical").otherwise("warning").alias("severity"))
+    """Alerts without a cool-down: every event comes a second or more after the one before."""
+    rows = t(spark, d, "events").select("user_id", F.timestamp_seconds("event_id").alias("at"), "value")
+    found = drift.alerts(rows, "at", ["value"], warning=10, critical=30, cooldown="1 second", group=["user_id"])
+    return found.select("user_id", F.unix_seconds("at").alias("event_id"), r6("delta").alias("delta"), "severity")
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT user_id, ts, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS delta FROM events), c AS (SELECT user_id, ts, delta, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM l WHERE abs(delta) >= 10),
+r AS (SELECT user_id, i, ts, delta, true AS raised, ts AS last FROM c WHERE i = 1 UNION ALL SELECT c.user_id, c.i, c.ts, c.delta, c.ts >= r.last + INTERVAL 1 HOUR, CASE WHEN c.ts >= r.last + INTERVAL 1 HOUR THEN c.ts ELSE r.last END FROM r JOIN c ON c.user_id = r.user_id AND c.i = r.i + 1)
+SELECT user_id, epoch_us(ts) AS at, 'value' AS metric, round(delta, 6) AS delta, CASE WHEN abs(delta) >= 30 THEN 'critical' ELSE 'warning' END AS severity FROM r WHERE raised""")
 def cooled_alerts(spark, d):
     """Alerts with a cool-down of an hour since the last one raised."""
     rows = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return drift.alerts(rows, "ts", ["value"], warning=10, critical=30, cooldown="1 hour", group=["user_id"]).select("user_id", F.col("ts").cast("string").alias("ts"), "metric", r6("delta").alias("delta"), "severity")
+    return drift.alerts(rows, "ts", ["value"], warning=10, critical=30, cooldown="1 hour", group=["user_id"]).select("user_id", F.unix_micros("ts").alias("at"), "metric", r6("delta").alias("delta"), "severity")
 
 
 @query("""WITH o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
@@ -551,29 +552,34 @@ def smoothed_values(spark, d):
     return drift.smoothed(t(spark, d, "events"), "value", "event_id", keep=0.6, group=["user_id"]).select("user_id", "event_id", r6("smoothed").alias("smoothed"))
 
 
-@query(f"""WITH {VECS}, r AS (SELECT v[1:4] AS x, CASE WHEN label % 2 = 0 THEN 0.1 ELSE -0.05 END * power(0.98, row_number() OVER (ORDER BY vec_id DESC)) AS c FROM e)
-SELECT CAST(g.i - 1 AS INTEGER) AS i, CAST(k.j - 1 AS INTEGER) AS j, round(sum(c * x[g.i] * x[k.j]), 6) + 0 AS w FROM r, range(1, 5) AS g(i), range(1, 5) AS k(j) GROUP BY 1, 2""")
+@query(f"""WITH {VECS}, r AS (SELECT v AS x, CASE WHEN label % 2 = 0 THEN 0.1 ELSE -0.05 END * power(0.98, row_number() OVER (ORDER BY vec_id DESC)) AS c FROM e)
+SELECT CAST(g.i - 1 AS INTEGER) AS i, CAST(k.j - 1 AS INTEGER) AS j, round(sum(c * x[g.i] * x[k.j]), 6) + 0 AS w FROM r, range(1, 65) AS g(i), range(1, 65) AS k(j) GROUP BY 1, 2""")
 def learned_couplings(spark, d):
-    rows = t(spark, d, "embeddings").select("vec_id", F.slice(vectors.doubles(F.col("embedding")), 1, 4).alias("v"), (F.col("label") % 2 == 0).alias("ok"))
+    rows = t(spark, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"), (F.col("label") % 2 == 0).alias("ok"))
     return drift.outer_product_memory(rows, "v", "ok", "vec_id", rate=0.1).select("i", "j", r6("w").alias("w"))
 
 
-@query("SELECT event_id, CASE WHEN abs(value) > 60 THEN 'out_of_bounds' ELSE 'healthy' END AS health FROM events")
+@query("""WITH x AS (SELECT event_id, user_id, CASE WHEN user_id % 7 = 3 THEN 5.0::DOUBLE WHEN event_id % 50 = 7 THEN 'inf'::DOUBLE ELSE value END AS v FROM events),
+w AS (SELECT event_id, v, count(v) OVER k AS n, min(v) OVER k AS lo, max(v) OVER k AS hi FROM x WINDOW k AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+SELECT event_id, CASE WHEN isnan(v) OR isinf(v) THEN 'not_finite' WHEN abs(v) > 60 THEN 'out_of_bounds' WHEN n = 10 AND hi - lo < 1e-6 THEN 'stalled' ELSE 'healthy' END AS health FROM w""")
 def agent_health(spark, d):
-    return drift.liveness(t(spark, d, "events"), "value", "event_id", bound=60.0, group=["user_id"]).select("event_id", "health")
+    """Some users' values are made constant and some infinite, so that every state occurs."""
+    value = F.when(F.col("user_id") % 7 == 3, 5.0).when(F.col("event_id") % 50 == 7, float("inf")).otherwise(F.col("value"))
+    rows = t(spark, d, "events").withColumn("value", value)
+    return drift.liveness(rows, "value", "event_id", bound=60.0, group=["user_id"]).select("event_id", "health")
 
 
 @query()
 def turn_monitor(spark, d):
-    rows = t(spark, d, "events").filter("user_id = 1").select("event_id", F.array(F.col("value"), F.col("value") * 2, F.col("user_id").cast("double")).alias("v"))
-    return drift.turn_monitor(rows, "v", "event_id", 3).select("event_id", r6("drift").alias("drift"), r6("surprise").alias("surprise"), "suggestion", "drifting")
+    rows = t(spark, d, "events").select("user_id", "event_id", F.array(F.col("value"), F.col("value") * 2, F.col("user_id").cast("double")).alias("v"))
+    return drift.turn_monitor(rows, "v", "event_id", 3, group=["user_id"]).select("user_id", "event_id", r6("drift").alias("drift"), r6("surprise").alias("surprise"), "suggestion", "drifting")
 
 
 # ---- text and rules ------------------------------------------------------------------------------------
 
-@query("SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the') THEN true ELSE false END AS named, CASE WHEN len(list_filter(['rm -rf', 'drop table', 'delete from', 'format c:', 'shutdown -h'], lambda v: contains(lower(text), v))) > 0 THEN 'REJECT' ELSE 'APPROVE' END AS verdict FROM conversations")
+@query("WITH c AS (SELECT *, len(list_filter(['rm -rf', 'drop table', 'delete from', 'format c:', 'shutdown -h'], lambda v: contains(lower(text), v))) > 0 AS bad FROM conversations) SELECT conv_id, turn, CASE WHEN bad THEN 'REJECT' ELSE 'APPROVE' END AS verdict, CASE WHEN bad THEN 'safety' WHEN length(text) - length(replace(text, '?', '')) > 1 THEN 'ambiguity' END AS adviser FROM c")
 def council_verdicts(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", F.lower("text").contains("the").alias("named"), rules.council(F.col("text")).alias("verdict"))
+    return t(spark, d, "conversations").select("conv_id", "turn", rules.council(F.col("text")).alias("c")).select("conv_id", "turn", "c.verdict", "c.adviser")
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'command: mkfs' WHEN page_id % 5 = 1 THEN 'path: /etc' WHEN regexp_extract(url, '^https?://([^/:]+)', 1) NOT IN ('example.com') THEN 'host: ' || regexp_extract(url, '^https?://([^/:]+)', 1) END AS blocked FROM pages""")
@@ -606,12 +612,12 @@ def waves(spark, d) -> DataFrame:
 r AS (SELECT *, CASE WHEN event_id > 0 AND event_id % 10 = 0 THEN 'sleep' WHEN top < 0.35 OR x < 0.3 THEN 'adaptive'
   WHEN x < 0.6 THEN CASE part WHEN 'Logic' THEN 'theoretical' WHEN 'Fear' THEN 'active' WHEN 'Love' THEN 'embodied' ELSE 'adaptive' END
   WHEN x < 0.8 THEN CASE part WHEN 'Creation' THEN 'hyper' ELSE 'alaya' END ELSE 'pineal' END AS mode FROM p)
-SELECT event_id, mode, CASE WHEN mode IN ('hyper', 'pineal') AND d > b THEN 'gemini' ELSE 'claude' END AS provider, CASE WHEN x > 0.7 THEN 'calm' ELSE 'teaching' END AS vow, CASE WHEN x > 0.7 THEN 0.5 ELSE 1.2 END::DOUBLE AS temperature,
+SELECT event_id, mode, CASE WHEN mode IN ('hyper', 'pineal') AND d > b THEN 'gemini' ELSE 'claude' END AS provider, CASE WHEN x > 0.7 THEN 'Abhaya (Fearlessness)|Calm|fatal,error,impossible,deny|fix,simple,safe,step-by-step' ELSE 'Desana (Teaching)|Insight|maybe,I feel,just|therefore,optimal,structure,logic' END AS vow, CASE WHEN x > 0.7 THEN 0.5 ELSE 1.2 END::DOUBLE AS temperature,
   CASE WHEN x < 0.3 THEN 'adaptive' WHEN x < 0.6 THEN 'theoretical' ELSE 'hyper' END AS reasoner FROM r""")
 def modes_and_routes(spark, d):
     rows = waves(spark, d).withColumn("mode", rules.reasoning_mode(F.col("wave"), F.col("x"), F.col("event_id")))
     vow = rules.vow(F.col("x"))
-    return rows.select("event_id", "mode", rules.provider(F.col("wave"), F.col("mode"), F.lit("auto")).alias("provider"), vow["name"].alias("vow"), vow["temperature"].alias("temperature"), rules.reasoner(F.col("x")).alias("reasoner"))
+    return rows.select("event_id", "mode", rules.provider(F.col("wave"), F.col("mode"), F.lit("auto")).alias("provider"), F.concat_ws("|", vow["name"], vow["state"], F.array_join(vow["suppress"], ","), F.array_join(vow["boost"], ",")).alias("vow"), vow["temperature"].alias("temperature"), rules.reasoner(F.col("x")).alias("reasoner"))
 
 
 @query("SELECT event_id, substr(md5(printf('%.3f', (event_id % 8) / 8) || '|' || printf('%.3f', (event_id % 4) / 4)), 1, 12) AS key FROM events")
@@ -622,7 +628,7 @@ def cache_keys(spark, d):
 @query("""WITH v AS (SELECT doc_id, text, unnest([0, 1, 2, 3]) AS k FROM documents), c AS (SELECT doc_id, k, len(list_filter(string_split(text, ''), lambda x: unicode(x) % 4 = k))::DOUBLE AS n FROM v)
 SELECT doc_id, round(max(n) FILTER (k = 0) / greatest(sqrt(sum(n * n)), 1e-10), 6) AS a, round(max(n) FILTER (k = 3) / greatest(sqrt(sum(n * n)), 1e-10), 6) AS b FROM c GROUP BY 1""")
 def character_vectors(spark, d):
-    v = text.normalised(text.character_counts(F.col("text"), 4))
+    v = text.character_counts(F.col("text"), 4, normal=True)
     return t(spark, d, "documents").select("doc_id", v.alias("v")).select("doc_id", r6(F.get("v", F.lit(0))).alias("a"), r6(F.get("v", F.lit(3))).alias("b"))
 
 
@@ -697,11 +703,11 @@ def streaming_histogram(spark, d):
 
 # ---- objectives ----------------------------------------------------------------------------------------
 
-OBJECTIVE = f"{GRAPH}, s AS (SELECT p_partkey AS id, p_retailprice / 1000 AS score FROM part WHERE p_partkey <= 120)"
+OBJECTIVE = f"{GRAPH}, s AS (SELECT p_partkey AS id, p_retailprice / 1000 AS score FROM part)"
 
 
 def candidates(spark, d) -> DataFrame:
-    return t(spark, d, "part").filter("p_partkey <= 120").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 1000).alias("score"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 1000).alias("score"))
 
 
 @query(f"WITH {OBJECTIVE}, y AS (SELECT src, sum(w) AS r FROM x GROUP BY 1) SELECT s.id, round(-2 * score + 0.5 * coalesce(r, 0) + 10 * (1 - 2 * 8), 6) AS h FROM s LEFT JOIN y ON y.src = s.id")
@@ -717,22 +723,22 @@ def summed_couplings(spark, d):
     return objective.synthesised(candidates(spark, d), [objective.Synergy(links, 0.5)]).couplings.select("src", "dst", r6("w").alias("w"))
 
 
-@query(f"WITH {OBJECTIVE}, k AS (SELECT id FROM s WHERE id % 9 = 1), o AS (SELECT -sum(score) AS own, count(*) AS n FROM s WHERE id IN (SELECT id FROM k)), p AS (SELECT sum(w) AS pairs FROM x WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)) SELECT round(own + coalesce(pairs, 0) + 10 * (n * n - n), 6) AS energy FROM o, p")
+@query(f"WITH {OBJECTIVE}, k AS (SELECT id FROM s ORDER BY score DESC, id LIMIT 200), o AS (SELECT -sum(score) AS own, count(*) AS n FROM s WHERE id IN (SELECT id FROM k)), p AS (SELECT sum(w) AS pairs FROM x WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)) SELECT round(own + coalesce(pairs, 0) + 10 * (n * n - n), 6) AS energy FROM o, p")
 def selection_energy(spark, d):
     rows = candidates(spark, d)
     linear = rows.select("id", (-F.col("score")).alias("h"))
-    return objective.evaluate(rows.filter("id % 9 = 1"), linear, dependency_graph(spark, d)[1], 10.0).select(r6("energy").alias("energy"))
+    return objective.evaluate(ranking.top_k(rows, "score", 200), linear, dependency_graph(spark, d)[1], 10.0).select(r6("energy").alias("energy"))
 
 
-@query(f"WITH {OBJECTIVE}, k AS (SELECT id FROM s WHERE id % 9 = 1) SELECT round((SELECT sum(score) FROM s WHERE id IN (SELECT id FROM k)) + 0.5 * (SELECT sum(w) FROM x WHERE src IN (SELECT id FROM k) AND dst NOT IN (SELECT id FROM k)), 6) AS value")
+@query(f"WITH {OBJECTIVE}, k AS (SELECT id FROM s ORDER BY score DESC, id LIMIT 200) SELECT round((SELECT sum(score) FROM s WHERE id IN (SELECT id FROM k)) + 0.5 * (SELECT sum(w) FROM x WHERE src IN (SELECT id FROM k) AND dst NOT IN (SELECT id FROM k)), 6) AS value")
 def cut_value(spark, d):
     rows = candidates(spark, d)
-    return objective.cut_value(rows.filter("id % 9 = 1"), rows, dependency_graph(spark, d)[1]).select(r6("value").alias("value"))
+    return objective.cut_value(ranking.top_k(rows, "score", 200), rows, dependency_graph(spark, d)[1]).select(r6("value").alias("value"))
 
 
-@query(f"WITH {OBJECTIVE}, k AS (SELECT * FROM s WHERE id % 9 = 1) SELECT round(sum(score), 6) AS total, round(stddev_pop(score) / avg(score), 6) AS variation, abs(count(*) - 10) AS off_by, round((SELECT sum(w) FROM x WHERE src IN (SELECT id FROM k) AND dst NOT IN (SELECT id FROM k)), 6) AS outward, round(coalesce((SELECT sum(w) FROM x WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)), 0), 6) AS inward FROM k")
+@query(f"WITH {OBJECTIVE}, k AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 200) SELECT round(sum(score), 6) AS total, round(stddev_pop(score) / avg(score), 6) AS variation, abs(count(*) - 10) AS off_by, round((SELECT sum(w) FROM x WHERE src IN (SELECT id FROM k) AND dst NOT IN (SELECT id FROM k)), 6) AS outward, round(coalesce((SELECT sum(w) FROM x WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)), 0), 6) AS inward FROM k")
 def interpretation(spark, d):
-    rows = objective.interpretation(candidates(spark, d).filter("id % 9 = 1"), dependency_graph(spark, d)[1], 10)
+    rows = objective.interpretation(ranking.top_k(candidates(spark, d), "score", 200), dependency_graph(spark, d)[1], 10)
     return rows.select(r6("total").alias("total"), r6("variation").alias("variation"), "off_by", r6("outward").alias("outward"), r6("inward").alias("inward"))
 
 
@@ -743,20 +749,47 @@ def linear_selection(spark, d):
     return objective.solve(objective.synthesised(rows, [objective.Surprise("score")]), 8).select("id", r6("h").alias("h"))
 
 
+#: Candidates of neighbouring ids make a problem, so that problems stay as small as they are, however many there are.
+PROBLEM = 250
+
+
+def problems(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Energies and couplings of all candidates, a problem for each run of ids: what repels is of the same problem."""
+    _, links = dependency_graph(spark, d)
+    rows = candidates(spark, d)
+    made = objective.synthesised(rows, [objective.Surprise("score"), objective.Diversity(links, 0.1), objective.Cardinality(8, 1.0)])
+    of = lambda c: F.floor(F.col(c) / PROBLEM)
+    return made.linear.withColumn("problem", of("id")), made.couplings.withColumn("problem", of("src")).filter(of("dst") == F.col("problem"))
+
+
 def _solved(method: str):
     def run(spark, d):
-        _, links = dependency_graph(spark, d)
-        rows = candidates(spark, d)
-        made = objective.synthesised(rows, [objective.Surprise("score"), objective.Diversity(links, 0.1), objective.Cardinality(8, 1.0)])
-        return objective.solve(made, 8, method=method).select("id", r6("h").alias("h"))
+        linear, couplings = problems(spark, d)
+        return objective.solve_groups(linear, couplings, 8, method=method, gamma=1.0).select("problem", "id", r6("h").alias("h"))
 
     return run
 
 
-for _method in ("greedy", "sa", "ising_sa", "relaxation", "flow", "input_flow", "adaptive", "hyper", "active", "noisy"):
+for _method in ("greedy", "sa", "ising_sa", "warm_sa", "relaxation", "flow", "input_flow", "adaptive", "hyper", "active", "noisy"):
     QUERIES[f"solve_{_method}"] = _solved(_method)
 
 
+@query()
+def solve_all(spark, d):
+    """Each problem's selection of least energy among those of all methods."""
+    linear, couplings = problems(spark, d)
+    best = objective.best_of_all(objective.run_all(linear, couplings, 8, ["greedy", "sa", "ising_sa", "relaxation"], gamma=1.0))
+    return best.select("problem", "method", r6("energy").alias("energy"), F.size("ids").alias("n"))
+
+
+@query(f"WITH {GRAPH}, {DEGREES}, z AS (SELECT max(out_w + in_w) AS top FROM dg) SELECT id, round(0.5 * (out_w + in_w) / (2 * top), 6) AS tied, round(-2 * (1 - (out_w + in_w) / top), 6) + 0 AS central FROM dg, z")
+def graph_energies(spark, d):
+    nodes, links = dependency_graph(spark, d)
+    rows = candidates(spark, d)
+    tied = objective.Tied(nodes, links, 0.5).build(rows).linear.select("id", r6("h").alias("tied"))
+    return tied.join(objective.Central(nodes, links, 2.0).build(rows).linear.select("id", r6("h").alias("central")), "id")
+
+
 @query(f"""WITH {OBJECTIVE}, a AS (SELECT id FROM s ORDER BY score DESC, id LIMIT 30), b AS (SELECT id FROM s ORDER BY score, id LIMIT 100), v AS (SELECT id, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1),
 m AS (SELECT min(score) AS lo, max(score) AS hi FROM s) SELECT s.id, round(n + 0.99 * (score - lo) / (hi - lo), 6) AS votes FROM s JOIN v USING (id), m ORDER BY votes DESC, s.id LIMIT 10""")
 def ensemble_vote(spark, d):
@@ -813,16 +846,15 @@ def memory_search(spark, d):
     return memory.nearest(patterns(spark, d), query_vector(spark, d), 10).select("id", r6("match").alias("match"))
 
 
-@query(f"WITH {MEMORY} SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j, round(-0.1 * sum(pattern[a.i] * pattern[b.i]), 6) + 0 AS w FROM m, range(1, 7) AS a(i), range(1, 7) AS b(i) WHERE a.i <> b.i GROUP BY 1, 2")
+@query(f"WITH {MEMORY} SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j, round(-0.1 * sum(pattern[a.i] * pattern[b.i]), 6) + 0 AS w FROM m, range(1, 65) AS a(i), range(1, 65) AS b(i) WHERE a.i <> b.i GROUP BY 1, 2")
 def associations(spark, d):
-    rows = patterns(spark, d).withColumn("pattern", F.slice("pattern", 1, 6))
-    return memory.associations(rows, 0.1).select("i", "j", r6("w").alias("w"))
+    return memory.associations(patterns(spark, d), 0.1).select("i", "j", r6("w").alias("w"))
 
 
 @query()
 def memory_recall(spark, d):
-    cues = t(spark, d, "embeddings").filter("vec_id % 50 = 1").select(F.col("vec_id").alias("cue"), F.col("embedding").alias("pattern"))
-    return memory.recalled(patterns(spark, d), cues, capacity=100).select("cue", "id")
+    cues = t(spark, d, "embeddings").select(F.col("vec_id").alias("cue"), F.col("embedding").alias("pattern"))
+    return memory.recalled(patterns(spark, d), cues).select("cue", "id")
 
 
 @query()
@@ -842,9 +874,9 @@ def label_counts(spark, d):
     return t(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(DISTINCT label) AS labels, round(count(DISTINCT label) / 20, 6) AS share FROM embeddings WHERE vec_id % 3 = 0")
+@query("SELECT count(DISTINCT label) AS labels, round(count(DISTINCT label) / 20, 6) AS share FROM embeddings")
 def label_diversity(spark, d):
-    return retrieval.label_diversity(t(spark, d, "embeddings").filter("vec_id % 3 = 0"), "label", 20).select("labels", r6("share").alias("share"))
+    return retrieval.label_diversity(t(spark, d, "embeddings"), "label", 20).select("labels", r6("share").alias("share"))
 
 
 @query("WITH c AS (SELECT event_id, user_id, value, CASE user_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 ELSE 0.2 END AS w FROM events) SELECT CAST(user_id % 5 AS BIGINT) AS pos, round(sum(w * value) / 2.0, 4) AS v FROM c GROUP BY 1")
@@ -868,3 +900,147 @@ def pattern_records(spark, d):
     """Rows to JSON and back, with a default for what is missing."""
     rows = t(spark, d, "embeddings").select("vec_id", F.to_json(F.struct(F.col("vec_id").alias("id"), "label")).alias("record"))
     return rows.select("vec_id", "record", F.coalesce(F.from_json("record", "id long, label int")["label"], F.lit(1)).alias("label"))
+
+
+# ---- topology, crossbars, jobs and streams ------------------------------------------------------------
+
+EVALUATED = f"""{DEGREES}, md AS (SELECT quantile_cont(out_w, 0.5) AS med FROM dg), ins AS (SELECT src, sum(abs(w)) AS inside FROM x WHERE src % 4 = dst % 4 GROUP BY 1),
+iso AS (SELECT avg(CASE WHEN out_w > med AND out_w > 1e-15 THEN coalesce(inside, 0) / out_w ELSE 1 END) AS isolation FROM dg CROSS JOIN md LEFT JOIN ins ON src = id),
+na AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT id % 4) AS k FROM n), nb AS (SELECT count(*) AS m, sum(abs(w)) AS all_w, sum(abs(w)) FILTER (src % 4 = dst % 4) AS in_w FROM x),
+pre AS (SELECT 0.4 * (1 - least(m / (n * (n - 1)), 1)) + 0.3 * (k - 1) / (n - 1) + 0.3 * in_w / all_w AS precision FROM na, nb),
+del AS (SELECT avg(1 - (out_w + in_w) / (2 * (SELECT max(out_w + in_w) FROM dg))) AS deleteability FROM dg)"""
+
+
+@query(f"WITH {GRAPH}, {EVALUATED} SELECT round(isolation, 6) AS isolation, round(precision, 6) AS precision, round(deleteability, 6) AS deleteability, round(power(isolation * precision * deleteability, 1.0 / 3), 6) AS overall FROM iso, pre, del")
+def topology_evaluation(spark, d):
+    nodes, links = dependency_graph(spark, d)
+    rows = graphs.evaluation(nodes, links, nodes.select("id", (F.col("id") % 4).alias("cluster")))
+    return rows.select(*[r6(c).alias(c) for c in ("isolation", "precision", "deleteability", "overall")])
+
+
+@query(f"WITH {GRAPH}, {EVALUATED} SELECT name, round(isolation, 6) AS isolation, round(power(isolation * precision * deleteability, 1.0 / 3), 6) AS overall FROM iso, pre, del, (SELECT unnest(['one', 'two']) AS name)")
+def compared_topologies(spark, d):
+    """Two graphs side by side; the second has every edge at double weight, which changes no share."""
+    nodes, links = dependency_graph(spark, d)
+    clusters = nodes.select("id", (F.col("id") % 4).alias("cluster"))
+    rows = graphs.compared({"one": (nodes, links, clusters), "two": (nodes, edges.scaled(links, 2.0), clusters)})
+    return rows.select("name", r6("isolation").alias("isolation"), r6("overall").alias("overall"))
+
+
+@query()
+def deleteability_by_flow(spark, d):
+    """Modules are small here: what a part depends on within its run of ids."""
+    nodes, links = dependency_graph(spark, d)
+    near = links.filter(F.floor(F.col("src") / 50) == F.floor(F.col("dst") / 50))
+    return graphs.deleteability_by_flow(nodes, near).select("id", r6("deleteability").alias("deleteability"))
+
+
+@query(f"WITH {EDGE}, {VEC} SELECT dst AS id, round(sum(w * 0.001 * v), 6) AS y FROM j JOIN v ON id = src GROUP BY 1")
+def crossbar_currents(spark, d):
+    return edges.currents(edges.programmed(supply_edges(spark, d)), part_vector(spark, d)).select("id", r6("y").alias("y"))
+
+
+@query(f"WITH {EDGE}, g AS (SELECT src, dst, 0.001::DOUBLE * w AS g FROM j) SELECT (SELECT count(*) FROM supplier) * (SELECT count(*) FROM part) AS cells, count(*) AS active, round(sum(g), 6) AS total, round(avg(g), 9) AS mean, round(max(g), 6) AS most FROM g")
+def crossbar_statistics(spark, d):
+    rows, cols = t(spark, d, "supplier").count(), t(spark, d, "part").count()
+    found = edges.crossbar_stats(edges.programmed(supply_edges(spark, d)), rows, cols)
+    return found.select("cells", "active", r6("total").alias("total"), F.round("mean", 9).alias("mean"), r6("most").alias("most"))
+
+
+@query("""WITH a AS (SELECT n_nationkey AS id, (n_nationkey - 12) / 10.0::DOUBLE AS v FROM nation), o AS (SELECT x.id AS src, y.id AS dst, 0.001::DOUBLE * x.v AS g FROM a AS x, a AS y WHERE abs(x.v) >= 1e-10),
+m AS (SELECT x.id AS src, y.id AS dst, coalesce(g, 0) + 0.0005::DOUBLE * x.v * y.v AS g FROM a AS x JOIN a AS y ON abs(x.v) >= 1e-8 AND abs(y.v) >= 1e-8 LEFT JOIN o ON o.src = x.id AND o.dst = y.id), c AS (SELECT src, dst, sign(g) * least(greatest(abs(g), 1e-6), 0.001) AS g FROM m UNION ALL SELECT src, dst, g FROM o WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.src = o.src AND m.dst = o.dst))
+SELECT src, dst, round(g, 9) AS g FROM c WHERE abs(g) > 1e-15""")
+def hebbian_cells(spark, d):
+    """Cells between all nations, moved by their activity."""
+    active = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), ((F.col("n_nationkey") - 12) / 10.0).alias("v"))
+    links = active.select(F.col("id").alias("src"), F.col("v").alias("w")).join(active.select(F.col("id").alias("dst"))).select("src", "dst", "w")
+    return edges.hebbian(edges.programmed(links), active, active, 0.0005).select("src", "dst", (F.round("g", 9) + 0.0).alias("g"))
+
+
+@query(SQL["surprising_events"])
+def file_job(spark, d):
+    """Two passes over files."""
+    paths = [f"{d}/events.parquet"]
+    rows, _ = plans.run_files(spark, paths, plans.fit_files(spark, paths, "value"), 20, "value", id_col="event_id")
+    return rows.select("event_id", r6("value").alias("value"), r6("surprise").alias("surprise"))
+
+
+@query(SQL["surprising_events"])
+def stream_job(spark, d):
+    """The same two passes over a stream of the table's files: what is there is processed, then the query ends."""
+    events = t(spark, d, "events")
+    folder = scratch_path(spark, "stream")
+    events.select("event_id", "value").repartition(4, "event_id").write.parquet(f"{folder}/in")
+    live = lambda: spark.readStream.schema("event_id long, value double").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    fitted = stash(scoring.fit_stream(live(), "value", f"{folder}/one"), "fitted")
+    rows, _ = scoring.run_stream(live(), "value", fitted, 20, f"{folder}/two", id_col="event_id")
+    return rows.select("event_id", r6("value").alias("value"), r6("surprise").alias("surprise"))
+
+
+@query("WITH c AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) SELECT k, n, round(n / (SELECT sum(n) FROM c), 6) AS share FROM c")
+def merged_count_min(spark, d):
+    """Two sketches of halves, merged; it is so wide that the few users don't collide."""
+    events = t(spark, d, "events").withColumnRenamed("user_id", "k")
+    halves = [sketches.count_min(events.filter(F.col("event_id") % 2 == i), "k", width=1 << 16) for i in (0, 1)]
+    rows = sketches.frequencies(events.select("k").distinct(), "k", sketches.merged(*halves), width=1 << 16)
+    return rows.select("k", F.col("estimate").alias("n"), r6("frequency").alias("share"))
+
+
+@query("SELECT l_quantity::DOUBLE AS center, count(*) AS n FROM lineitem GROUP BY 1")
+def merged_histogram(spark, d):
+    rows = t(spark, d, "lineitem")
+    halves = [sketches.exact_bins(rows.filter(F.col("l_orderkey") % 2 == i), F.col("l_quantity")) for i in (0, 1)]
+    return sketches.merged_bins(*halves).select("center", F.col("n").cast("long").alias("n"))
+
+
+@query("""WITH b AS (SELECT l_quantity::DOUBLE AS c, count(*) AS n FROM lineitem GROUP BY 1), x AS (SELECT sum(n) AS t, max(c) - min(c) AS span, count(*) AS k, min(c) AS lo, max(c) AS hi FROM b), v AS (SELECT event_id, least(greatest(value, lo), hi) AS v, t, span, k FROM events, x),
+p AS (SELECT v.*, l.c AS lc, l.n AS ln FROM v ASOF JOIN b AS l ON v.v >= l.c), q AS (SELECT p.*, r.c AS rc, r.n AS rn FROM p ASOF LEFT JOIN b AS r ON p.v < r.c)
+SELECT event_id, round(-ln(greatest((CASE WHEN rc IS NULL THEN ln ELSE ln + (rn - ln) * ((v - lc) / (rc - lc)) END) / t * span / k, 1e-10)), 6) AS surprise FROM q""")
+def sketch_surprise(spark, d):
+    """Events scored by a histogram of another table."""
+    bins = sketches.exact_bins(t(spark, d, "lineitem"), F.col("l_quantity"))
+    return sketches.surprise_of(t(spark, d, "events"), F.col("value"), bins).select("event_id", r6("surprise").alias("surprise"))
+
+
+@query(TIERED + " SELECT id, tier, CASE tier WHEN 'critical' THEN 'keep ' || id WHEN 'normal' THEN 'look at ' || id END AS result FROM z")
+def handled_selection(spark, d):
+    """The caller's functions by tier."""
+    rows = profile.tiers(ranking.top_k(prices(spark, d), "score", 60), "score")
+    handlers = {"critical": lambda i, s: f"keep {i}", "normal": lambda i, s: f"look at {i}"}
+    return plans.handled(rows, handlers, id_col="id", score="score").select("id", "tier", "result")
+
+
+@query(TIERED + " SELECT id, CASE WHEN s >= 1000 THEN 'dear' ELSE 'cheap' END AS result FROM z")
+def handled_batches(spark, d):
+    rows = ranking.top_k(prices(spark, d), "score", 60)
+    return plans.handled_in_batches(rows, lambda ids, scores: ["dear" if s >= 1000 else "cheap" for s in scores], id_col="id", score="score").select("id", "result")
+
+
+@query("SELECT conv_id, turn, length(text)::DOUBLE AS a, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS b FROM conversations")
+def embedded_texts(spark, d):
+    """The caller's embedding of texts."""
+    rows = retrieval.embedded(t(spark, d, "conversations"), lambda texts: [[len(x), x.count("e")] for x in texts])
+    return rows.select("conv_id", "turn", F.get("vector", F.lit(0)).alias("a"), F.get("vector", F.lit(1)).alias("b"))
+
+
+@query()
+def reranked_online(spark, d):
+    """The corpus and its graph are stored once; a query reads what its first stage fetched."""
+    stored = retrieval.fit_offline(t(spark, d, "embeddings"), 5, id_col="vec_id", vector="embedding")
+    fetched = retrieval.cosine_top(t(spark, d, "embeddings"), query_vector(spark, d), 100, id_col="vec_id", vector="embedding")
+    return retrieval.rerank_online(stored, query_vector(spark, d), fetched, 10).select("id", "rank", r6("relevance").alias("relevance"))
+
+
+@query()
+def memory_text_search(spark, d):
+    return memory.search_by_text(patterns(spark, d), "what did we learn about the moon", 5).select("id", r6("similarity").alias("similarity"))
+
+
+@query(f"""WITH {WAVE}, e AS (SELECT event_id, (date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) + 2440588 - 2451550.1::DOUBLE) / 29.530588853::DOUBLE AS turns FROM events), p AS (SELECT event_id, turns - floor(turns) AS phase FROM e)
+SELECT event_id, round(a + b + c + d, 6) AS mood, round(phase, 6) AS phase, round(abs(cos(phase * 2 * pi())), 6) AS light, round(x, 6) AS complexity FROM m JOIN p USING (event_id)""")
+def reasoning_vectors(spark, d):
+    sky = t(spark, d, "events").select(F.col("event_id").alias("e"), calendar.moon(F.col("ts")).alias("m"))
+    rows = waves(spark, d).join(sky, F.col("event_id") == F.col("e"))
+    v = rules.reasoning_vector(F.col("wave"), F.col("m.phase"), F.col("m.illumination"), F.lit(0.5), F.col("x"))
+    at = lambda i: F.get("v", F.lit(i))
+    return rows.select("event_id", v.alias("v")).select("event_id", r6(at(0) + at(1) + at(2) + at(3)).alias("mood"), r6(at(4)).alias("phase"), r6(at(5)).alias("light"), r6(at(7)).alias("complexity"))

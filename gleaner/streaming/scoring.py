@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gleaner.operators import surprise
+from gleaner.operators import profile, surprise
 from gleaner.operators.ranking import top_k
 from gleaner.plans.scratch import shared_folder
 from gleaner.session import ship
@@ -50,6 +51,65 @@ def run_once(stream: DataFrame, sink, checkpoint: str) -> StreamingQuery:
     return query
 
 
+class Fitting:
+    """A foreachBatch sink for the first pass over a stream: counts of different values, as tables of batches.
+
+    A batch that runs again replaces its own table; the fit adds all tables, so order and repetition don't matter.
+    """
+
+    def __init__(self, spark: SparkSession, col: str, name: str):
+        self.spark, self.col, self.folder, self.batches = spark, col, f"{shared_folder(spark)}/{name}", set()
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        batch.groupBy(surprise.scalar(batch, self.col).alias("x")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/{number}")
+        self.batches.add(number)
+
+    def fitted(self) -> DataFrame:
+        """The distribution of all that was seen, as surprise.fit gives it for a table."""
+        counts = self.spark.read.schema("x double, n long").parquet(*[f"{self.folder}/{b}" for b in sorted(self.batches)])
+        return surprise.fit_counts(counts, "x", "n")
+
+
+def fit_stream(stream: DataFrame, col: str, checkpoint: str) -> DataFrame:
+    """The first pass: process all that is there and fit it."""
+    sink = Fitting(stream.sparkSession, col, f"fit-{uuid.uuid4().hex}")
+    run_once(stream, sink, checkpoint)
+    return sink.fitted()
+
+
+def run_stream(stream: DataFrame, col: str, fitted: DataFrame, k: int, checkpoint: str, *, id_col: str = "id", threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """The second pass: the k most surprising rows of a stream, with tiers, and the tiers' counts."""
+    live = scored(stream, col, fitted)
+    sink = BestOf(live, "surprise", k, id_col, f"best-{uuid.uuid4().hex}")
+    run_once(live, sink, checkpoint)
+    rows = profile.tiers(sink.table(stream.sparkSession), "surprise", threshold)
+    return rows, rows.groupBy("tier").agg(F.count("*").alias("n"))
+
+
+def heartbeats(ticks: DataFrame, *, leak: float = 1.0) -> DataFrame:
+    """(daemon, seq, state) for a stream or table of ticks (daemon, seq, dt, signal array): every tick moves a
+    daemon's state one step towards its input."""
+    ship(ticks.sparkSession)
+    schema = "daemon string, seq long, state array<double>"
+
+    def rows_of(daemon: str, rows: pd.DataFrame, state: list[float] | None) -> tuple[pd.DataFrame, list[float]]:
+        out = []
+        for seq, dt, signal in rows.sort_values("seq")[["seq", "dt", "signal"]].itertuples(index=False):
+            state = heartbeat_step(state or [0.0] * len(signal), list(signal), dt, leak=leak)
+            out.append((daemon, seq, state))
+        return pd.DataFrame(out, columns=["daemon", "seq", "state"]), state
+
+    if not ticks.isStreaming:
+        return ticks.groupBy("daemon").applyInPandas(lambda key, rows: rows_of(key[0], rows, None)[0], schema)
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        out, state = rows_of(key[0], pd.concat(parts), list(held.get[0]) if held.exists else None)
+        held.update((state,))
+        yield out
+
+    return ticks.groupBy("daemon").applyInPandasWithState(run, schema, "state array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_means(stream: DataFrame, ts: str, x: str, *, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """An extension: means over windows of event time, closed by a watermark."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, length)).agg(F.avg(x).alias("mean"), F.count("*").alias("n"))

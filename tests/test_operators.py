@@ -51,8 +51,21 @@ def test_neighbours_equal_brute_force(spark):
     np.fill_diagonal(sims, -2)
     want = {(i, int(j)) for i in range(60) for j in np.argsort(-sims[i])[:4] if sims[i, j] > 0}
     assert {(r["src"], r["dst"]) for r in ranking.neighbours(rows, 4, block=16).collect()} == want
-    near = {(r["src"], r["dst"]) for r in ranking.approximate_neighbours(rows, 4, bits=2).collect()}
-    assert len(near & want) > 0.9 * len(want)
+
+
+def test_approximate_neighbours_at_their_defaults(spark):
+    """Vectors without any clusters, the hardest case, and clustered ones; ties and repeated vectors."""
+    rng = np.random.default_rng(5)
+    plain = rng.normal(size=(1500, 64))
+    clustered = rng.normal(size=(30, 64))[rng.integers(0, 30, 1500)] + 0.5 * rng.normal(size=(1500, 64))
+    for v in (plain, clustered):
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        exact = {(r["src"], r["dst"]) for r in ranking.neighbours(rows, 5, id_col="vec_id", vector_col="embedding").collect()}
+        near = {(r["src"], r["dst"]) for r in ranking.approximate_neighbours(rows, 5, id_col="vec_id", vector_col="embedding").collect()}
+        assert len(exact) == 5 * 1500 and len(near & exact) >= 0.9 * len(exact)
+    assert ranking.approximate_neighbours(rows.limit(0), 5, id_col="vec_id", vector_col="embedding").count() == 0
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(6)], "id long, v array<double>")
+    assert {(r["src"], r["dst"]) for r in ranking.neighbours(same, 2, block=3).filter("src > 3").collect()} == {(4, 0), (4, 1), (5, 0), (5, 1)}
 
 
 def test_clamp():
@@ -148,7 +161,7 @@ def test_sketches_never_underestimate(spark):
 def test_objective_routes(spark):
     assert objective.route({"linear"}, False) == "top_k"
     assert objective.route({"submodular"}, True) == "greedy"
-    assert objective.route({"supermodular"}, True) == "sa"
+    assert objective.route({"supermodular"}, True) == "warm_sa"
     assert objective.route({"submodular", "supermodular"}, True) == "ising_sa"
     rows = spark.createDataFrame([(i, float(s)) for i, s in enumerate([3, 1, 5, 2, 8, 7])], "id long, score double")
     made = objective.synthesised(rows, [objective.Surprise("score")])
@@ -217,3 +230,142 @@ def test_streamed_best_rows_equal_batch(spark, tmp_path):
     scoring.run_once(live, sink, str(tmp_path / "checkpoint"))
     want = ranking.top_k(surprise.score(rows, "x", fitted), "surprise", 7).collect()
     assert sorted(r["id"] for r in sink.table(spark).collect()) == sorted(r["id"] for r in want)
+
+
+def random_graph(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    links = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, n, n), rng.integers(0, n, n), rng.random(n) + 0.1, strict=True)]
+    return spark.range(n), spark.createDataFrame(links, "src long, dst long, w double"), links
+
+
+def test_components_and_reach_equal_a_plain_search(spark):
+    nodes, table, links = random_graph(spark, 80, 2)
+    label = list(range(80))
+    for _ in range(80):
+        for a, b, _w in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["id"]: r["component"] for r in graphs.components(nodes, table).collect()} == dict(enumerate(label))
+    want = {}
+    for start in range(80):
+        level, seen, depth = {start}, {start}, 0
+        while level:
+            depth += 1
+            level = {a for a, b, _w in links if b in level and a != b} - seen
+            seen |= level
+            want |= {(start, x): depth for x in level}
+    assert {(r["start"], r["id"]): r["depth"] for r in graphs.reach(table, nodes).collect()} == want
+
+
+def test_deleteability_by_flow(spark):
+    nodes = spark.range(6)
+    links = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0), (3, 0, 1.0), (4, 5, 0.1)], "src long, dst long, w double")
+    got = {r["id"]: r["deleteability"] for r in graphs.deleteability_by_flow(nodes, links).collect()}
+    assert len(got) == 6 and min(got.values()) == 0 and all(0 <= x <= 1 for x in got.values())
+    assert abs(got[1] - got[2]) < 1e-9 and abs(got[4] - got[5]) < 1e-9
+    with pytest.raises(Exception, match="one task takes 2"):
+        graphs.deleteability_by_flow(nodes, links, limit=2).collect()
+
+
+def test_smoothed_values_equal_the_fold(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=200) * 10.0 ** rng.integers(-3, 8, 200)
+    rows = spark.createDataFrame([(g, i, float(v) * (g + 1)) for g in range(2) for i, v in enumerate(x[: 200 - 73 * g])], "g long, i long, x double")
+    got = {(r["g"], r["i"]): r["smoothed"] for r in drift.smoothed(rows, "x", "i", keep=0.9, start=0.25, group=["g"]).collect()}
+    for g in range(2):
+        state = 0.25
+        for i, v in enumerate(x[: 200 - 73 * g] * (g + 1)):
+            state = state * 0.9 + v * 0.1
+            assert abs(got[g, i] - state) <= 1e-9 * max(1, abs(state), np.abs(x[: i + 1]).max() * 0.9**64)
+
+
+def test_turn_monitor_of_groups(spark):
+    rng = np.random.default_rng(1)
+    data = {g: rng.normal(size=(45 + 10 * g, 2)) for g in range(2)}
+    rows = spark.createDataFrame([(g, i, v.tolist()) for g, vs in data.items() for i, v in enumerate(vs)], "g long, i long, v array<double>")
+    got = {(r["g"], r["i"]): r for r in drift.turn_monitor(rows, "v", "i", 2, group=["g"]).collect()}
+    for g, vs in data.items():
+        for t in range(1, len(vs) + 1):
+            if t < 20:
+                assert got[g, t - 1]["drift"] == 0
+                continue
+            until = max(20, max(20, t // 20 * 20) // 2)
+            base, last = vs[:until], vs[max(0, t - 50) : t]
+            want = (np.abs(last.mean(axis=0) - base.mean(axis=0)) / np.maximum(base.std(axis=0), 1e-6)).mean()
+            assert abs(got[g, t - 1]["drift"] - want) < 1e-6
+
+
+def test_bayesian_surprise_equals_the_sum(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=60)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, x double")
+    fitted = surprise.fit(rows, "x")
+    prior = np.maximum(fitted.first()["prior"], 1e-10)
+    counts = np.zeros(50)
+    for r in surprise.bayesian(rows, "x", "i", fitted).orderBy("i").collect():
+        counts[int(np.sign(values[r["i"]]) * np.floor(abs(values[r["i"]] * 50))) % 50] += 1
+        p = np.maximum(counts / counts.sum(), 1e-10)
+        assert abs(r["surprise"] - max((p * (np.log(p) - np.log(prior))).sum(), 0)) < 1e-6
+
+
+def test_character_counts(spark):
+    texts = ["abca", "", None, "né 日本語 \U0001f600", "\x00" * 5]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", text.character_counts(F.col("t"), 4).alias("c"))
+    for r in rows.collect():
+        assert r["c"] == [float(sum(ord(x) % 4 == k for x in texts[r["id"]] or "")) for k in range(4)]
+
+
+def test_two_passes_over_a_stream_equal_the_batch(spark, tmp_path):
+    rows = spark.range(300).select("id", (F.hash("id") % 50).cast("double").alias("x"))
+    rows.repartition(5).write.parquet(str(tmp_path / "in"))
+    live = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    fitted = scoring.fit_stream(live(), "x", str(tmp_path / "one"))
+    assert fitted.collect() == surprise.fit(rows, "x").collect()
+    found, counts = scoring.run_stream(live(), "x", fitted, 9, str(tmp_path / "two"))
+    want = ranking.top_k(surprise.score(rows, "x", fitted), "surprise", 9).collect()
+    assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in want) and sum(r["n"] for r in counts.collect()) == 9
+
+
+def test_heartbeats(spark):
+    ticks = spark.createDataFrame([("a", i, 0.1, [1.0, -200.0]) for i in range(5)], "daemon string, seq long, dt double, signal array<double>")
+    last = scoring.heartbeats(ticks).orderBy("seq").collect()[-1]["state"]
+    state = [0.0, 0.0]
+    for _ in range(5):
+        state = [max(-10.0, min(10.0, s + 0.1 * (x - s))) for s, x in zip(state, [1.0, -200.0], strict=True)]
+    assert np.allclose(last, state)
+
+
+def test_crossbar(spark):
+    rows = spark.createDataFrame([(0, 1, 0.5), (1, 0, -0.25), (1, 1, 0.0)], "src long, dst long, w double")
+    cells = edges.programmed(rows)
+    assert {(r["src"], r["dst"]): r["w"] for r in edges.weights_of(cells).collect()} == {(0, 1): 0.5, (1, 0): -0.25}
+    step = (1e-3 - 1e-6) / 4
+    assert all(abs((abs(r["g"]) - 1e-6) / step - round((abs(r["g"]) - 1e-6) / step)) < 1e-6 for r in edges.programmed(rows, bits=2).collect())
+    assert edges.crossbar_stats(cells, 2, 2).first()["active"] == 2
+
+
+def test_topologies_side_by_side(spark):
+    nodes, table, _ = random_graph(spark, 20, 4)
+    clusters = nodes.select("id", (F.col("id") % 2).alias("cluster"))
+    a, b = graphs.compared({"a": (nodes, table, clusters), "b": (nodes, edges.scaled(table, 3.0), clusters)}).collect()
+    assert abs(a["overall"] - b["overall"]) < 1e-9 and abs(a["overall"] - (a["isolation"] * a["precision"] * a["deleteability"]) ** (1 / 3)) < 1e-9
+
+
+def test_text_search_and_stored_corpus(spark):
+    assert memory.folded_cue("bb", 4) == [0.0] * 4 and max(memory.folded_cue("aab", 2)) > 0.99
+    rows = spark.createDataFrame([(i, [float((i >> j) & 1) for j in range(4)], 1.0) for i in range(1, 16)], "id long, pattern array<double>, strength double")
+    assert memory.search_by_text(rows, "aaba", 3).count() == 3 and memory.search_by_text(rows.limit(0), "a").count() == 0
+    vectors_ = rows.select("id", F.col("pattern").alias("v"))
+    stored = retrieval.fit_offline(vectors_, 3)
+    got = [r["id"] for r in retrieval.rerank_online(stored, vectors.literal([1.0, 1.0, 0, 0]), vectors_.filter("id < 10").select("id"), 4).collect()]
+    assert len(got) == 4 and 3 in got and max(got) < 10
+
+
+def test_files_and_handlers(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.concatenate((np.zeros(50), [99.0])))
+    paths = [str(tmp_path / "a.npy")]
+    rows, counts = select.run_files(spark, paths, select.fit_files(spark, paths), 3)
+    assert 50 in {r["id"] for r in rows.collect()} and sum(r["n"] for r in counts.collect()) == 3
+    done = select.handled(rows, {"critical": lambda i, s: i * 2}).filter("tier = 'critical'").first()
+    assert done["result"] == str(2 * done["id"])
+    with pytest.raises(ValueError):
+        select.solved(rows.select("id", "x"), "x", 1, alpha=-1.0)
