@@ -44,6 +44,13 @@ WEAK = {
     "endpoint": r"https?://[A-Za-z0-9.-]+",
 }
 KINDS = [*BASE, *WEAK]
+#: What is searched instead, where the pattern can ask for the length: a run is taken whole or not at all, so the
+#: matches that count are the same, and those that don't are never made into rows.
+SEARCHED = {
+    "access": r"AKIA[A-Z0-9]{14,}",
+    "hex": r"[0-9a-f]{16,}",
+    "key40": r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])|[A-Za-z0-9+/]{39}=(?!=)|[A-Za-z0-9+/]{38}==)",
+}
 
 
 def _found(text: Column, pattern: str, hint: str) -> Column:
@@ -81,8 +88,8 @@ def scan(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     """
     text = F.col("text")
     company = text.rlike(BASE["access"]) | text.rlike(WEAK["ident"])
-    searched = [_found(text, p, HINT.get(k, p)).alias(k) for k, p in BASE.items()]
-    searched += [F.when(company, _found(text, p, HINT.get(k, p))).alias(k) for k, p in WEAK.items()]
+    one = lambda k, p: _found(text, SEARCHED.get(k, p), HINT.get(k, p))
+    searched = [one(k, p).alias(k) for k, p in BASE.items()] + [F.when(company, one(k, p)).alias(k) for k, p in WEAK.items()]
     rows = stash(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *searched), "secrets")
     # a row for each match: its place follows from the lengths before it
     pairs = lambda k: F.transform(F.col(f"{k}.matches"), lambda m, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.element_at(F.col(f"{k}.pieces"), i + 1).alias("gap"), m.alias("match")))

@@ -253,6 +253,16 @@ def test_secrets_of_credential_files(spark):
     assert got == {0: [(at, at + 40)], 1: [(at, at + 40)], 2: [], 3: []}
 
 
+def test_searched_patterns_find_the_same_runs():
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "0", "F", "+", "/", "=", " ", "AKIA", "b" * 17, "Z9" * 8, "Ab1" * 13, "x" * 38, "g"], k=rng.randint(1, 14)))
+        for kind, fits in (("access", lambda n: n >= 18), ("hex", lambda n: n >= 16), ("key40", lambda n: n == 40)):
+            plain_pattern = (secrets.BASE | secrets.WEAK)[kind]
+            want = [m.span() for m in re.finditer(plain_pattern, text) if fits(len(m[0]))]
+            assert [m.span() for m in re.finditer(secrets.SEARCHED[kind], text)] == want, (kind, text)
+
+
 def test_quality(spark, docs, empty):
     marks = spark.createDataFrame([(i, i % 2, 0, 1) for i in range(40)] + [(5, 1, 0, 1), (None, 1, 0, 1), (7, None, 0, 1), (8, 5, 0, 1)], "doc_id long, quality int, toxic int, size int")
     rows = quality.train_and_score(docs, marks).collect()
@@ -365,3 +375,137 @@ def test_shared_arrays(tmp_path):
     common.shared_write(f"file://{tmp_path}/x", "a", np.arange(5))
     assert common.shared_array(f"file://{tmp_path}/x", "a").tolist() == [0, 1, 2, 3, 4]
     assert common.shared_array(f"file://{tmp_path}/x", "none") is None
+
+
+def test_shards_and_slots_equal_a_plain_sort(spark, docs):
+    """Rows by their place, the rank in the source plus the source's phase over the source's rows, cut evenly."""
+    def uniform(seed, *values):
+        text = "|".join([str(seed), *["" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in values]])
+        return (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+    rng = random.Random(8)
+    rows = [(i, f"t{i}", rng.choice(["a", "a", "b", None, f"one{i}"])) for i in range(700)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_source = defaultdict(list)
+    for i, t, s in rows:
+        by_source[s].append((uniform(sharding.SEED, i), i))
+    places = []
+    for s, members in by_source.items():
+        phase = uniform(sharding.SEED + 1, s is None, s or "")
+        places += [((rank + phase) / len(members), s is None, s or "", i) for rank, (_, i) in enumerate(sorted(members))]
+    order = [x[3] for x in sorted(places)]
+    want = {i: (at * 7 // len(rows), at - -(-(at * 7 // len(rows)) * len(rows) // 7)) for at, i in enumerate(order)}
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(table, shards=7).collect()}
+    assert got == want
+
+
+def test_rows_of_one_id_keep_their_own_verdicts(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b c d", "s", "x"), (1, "### ### ###", "s", "y"), (None, "e f", "s", "z"), (None, "", "s", "w")], "doc_id long, text string, source string, shard string")
+    mixed = Counter(r["text"] for r in mixing.mixed_documents(rows).collect())
+    want = Counter()
+    for r in mixing.mix(rows).collect():
+        want[r["size"], r["doc_id"]] += -(-r["taken"] // r["size"]) if r["size"] else 0
+    assert mixed["a b c d"] == want[4, 1] and mixed["### ### ###"] == want[3, 1] and mixed[""] == 0
+    sharding.write_shards(rows, str(tmp_path / "s"), shards=2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(r["text"] for r in back.collect()) == sorted(r["text"] for r in rows.collect())
+
+
+DATA = "/root/testdata/sf0.1"
+
+
+def held_out(spark, name):
+    from gleaner.llm import queries
+
+    return queries.queries()[name](spark, DATA).filter("held_out")
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(DATA), reason="no test tables")
+def test_language_accuracy_on_held_out_documents(spark):
+    truth = spark.read.parquet(f"{DATA}/documents.parquet").filter("lang is not null").select("doc_id", "lang")
+    rows = held_out(spark, "op5_language_id").filter("lang_pred <> 'und'").join(truth, "doc_id").collect()
+    assert len(rows) > 1500 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.99 * len(rows)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(DATA), reason="no test tables")
+def test_quality_of_held_out_documents(spark):
+    truth = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    rows = held_out(spark, "op9_quality").join(truth, "doc_id").collect()
+    ones, zeros = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    above = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+    right = sum(r["predicted"] == r["quality"] for r in rows) / len(rows)
+    assert len(rows) > 400 and above >= 0.99 and right >= 0.97
+
+
+def test_rules_in_spark_equal_rules_in_numpy(spark, docs):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    names = quality.STATISTICS
+    picked = lambda: tuple((names[f], bool(rng.integers(2)), float(rng.choice([0.0, 0.1, 0.5, 1.0, 3.0]))) for f in rng.choice(len(names), rng.integers(1, 4), replace=False))
+    ensemble = quality.Ensemble(-0.3, [(picked(), float(rng.normal())) for _ in range(40)])
+    rows = quality.statistics(docs, F.col("doc_id").alias("doc_id")).withColumn("score", ensemble.column()).collect()
+    x = np.array([[r[n] for n in names] for r in rows])
+    assert np.allclose([r["score"] for r in rows], ensemble.score(x))
+
+
+def test_samples_are_bounded_however_often_an_id_is_there(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, **options: seen.append(len(x)) or quality.Ensemble(0.0, []))
+    rows = spark.range(3000).selectExpr("if(id < 2900, 7, id) as doc_id", "concat('some text ', id) as text", "'en' as lang")
+    quality.train(rows, spark.range(3000).selectExpr("id as doc_id", "1 as quality"), sample=50)
+    assert seen[0] <= 50
+    monkeypatch.setattr(language_id, "windows_of", lambda texts: seen.append(len(texts)) or (np.zeros((0, 256), np.uint8), np.zeros(len(texts) + 1, np.int64), np.zeros(0)))
+    language_id.train(rows, per_language=20)
+    assert seen[1] <= 20 * language_id.WINDOWS_PER_TEXT
+
+
+def test_near_copies_of_many_documents(spark):
+    """More than 10,000 rows, most of them near copies that differ: every component as an exact join finds it."""
+    rows = near_copies(1800, seed=9)
+    assert len(rows) > 10_000
+    sets = [shingles(t) for _, t in rows]
+    lists = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            lists[x].append(i)
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    different = 0
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in lists[x] if j < i)
+        for j, n in shared.items():
+            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+                different += s != sets[j]
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert different > 5000 and got == {i: root(i) for i in range(len(rows))}
+
+
+def test_very_long_texts(spark):
+    """Texts of 300,000 words among short ones, through every operator that reads texts."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    long = " ".join(rng.choices(words, k=300_000))
+    near = long.split()
+    near[1000] = "other"
+    texts = [long, " ".join(near), " ".join(long.split()[500:530]), "short one", "x" * 1_000_000]
+    table = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(table).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    bench = spark.createDataFrame([(1, texts[2])], "item_id long, text string")
+    found = {r["doc_id"]: [(m["start"], m["words"]) for m in r["matches"]] for r in decontamination.contamination(table, bench).collect()}
+    assert found == {0: [(500, 30)], 1: [(500, 30)], 2: [(0, 30)], 3: [], 4: []}
+    marks = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    assert quality.train_and_score(table, marks).count() == 5
+    assert language_id.train_and_identify(table).count() == 5
+    scored = {r["doc_id"]: r["n_tokens"] for r in ngram_lm.train_and_score(table).collect()}
+    assert scored == {0: 300_001, 1: 300_001, 2: 31, 3: 3, 4: 2}
+    assert token_output.round_trip(table).count() == 5 and secrets.scan(table).count() == 5
+    assert sharding.shard(table).count() == 5 and mixing.mix(table).count() == 5
