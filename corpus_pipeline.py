@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; all but
 the last return the columns of documents. The driver of a pipeline writes each result as Parquet and reads it
 again; run() does so in the shared folder.
+
+Cases: a null text is empty. Empty texts stay, as long as the classifier takes them, until the mixture, which has no
+words of theirs to take. Rows that repeat an id are rows of their own: of a group of near-duplicates one row of
+the least id stays, null only where no member has another. Without labels nothing is rejected, without benchmark
+items nothing is contaminated. Columns of any name pass through all stages but the last. Empty documents give
+no rows.
 """
 
 from __future__ import annotations
