@@ -41,7 +41,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Bytes of a row group and of a page, and rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 500
 #: Pieces and words that a task keeps.
-KEPT = 80_000
+KEPT = 250_000
 
 #: The normalizer and the pre-tokenizer of files whose texts may be cut at white space.
 SPLITS_WORDS = (
@@ -159,7 +159,7 @@ def _encode_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch, "text", 500, 2 << 20):
+            for rows in slices(batch, "text", 4000, 8 << 20):
                 ids, counts = coder.encode(rows.column("text"))
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.view(np.int32)))
