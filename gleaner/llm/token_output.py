@@ -74,6 +74,7 @@ class Encoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
@@ -82,14 +83,19 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            plain = word if word.isascii() else word.translate(self.letters)
-            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+            ids = self.older.get(word)
+            if ids is None:
+                plain = word if word.isascii() else word.translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+            self.words[word] = ids
         return ids
 
     def _encode(self, pieces: list[str]) -> None:
         rest = []
         for piece in pieces:
-            if _SIMPLE.fullmatch(piece):
+            if piece.isascii() and piece.isalpha():
+                self.pieces[piece] = self._word(piece)
+            elif _SIMPLE.fullmatch(piece):
                 self.pieces[piece] = b"".join(map(self._word, _PARTS.findall(piece)))
             else:
                 rest.append(piece)
@@ -107,28 +113,26 @@ class Encoder:
         lower = pc.ascii_lower(texts)
         flat, starts = split_words(pc.ascii_trim_whitespace(lower))
         coded = flat.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.pieces) > KEPT:  # what this slice has too is likely to come again
             self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
-        if len(self.words) > KEPT:
-            self.words = {}
-        missing = [p for p in pieces if p not in self.pieces]
+        if len(self.words) > KEPT // 2:  # a word that comes again is taken over from the older half
+            self.older, self.words = self.words, {}
+        found = list(map(self.pieces.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            self._encode(missing)
-        found = [self.pieces[p] for p in pieces]
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = np.cumsum(sizes) - sizes
+            self._encode([pieces[i] for i in missing])
+            for i in missing:
+                found[i] = self.pieces[pieces[i]]
+        stored = pa.array([*found, np.uint32(END_ID).tobytes()], pa.large_binary())
         # after the last piece of each text comes the end: piece number len(pieces), one id long
         n = len(starts) - 1
-        order = np.full(len(flat) + n, len(pieces))
+        order = np.full(len(flat) + n, len(pieces), np.int32)
         order[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(starts))] = coded.indices.to_numpy()
-        ids, begin, sizes = np.append(ids, np.uint32(END_ID)), np.append(begin, len(ids)), np.append(sizes, 1)
-        lengths = sizes[order]
-        ends = np.cumsum(lengths)
-        out = ids[np.repeat(begin[order] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        last = starts[1:] + np.arange(n)
-        counts = np.diff(ends[last], prepend=0) if n else np.zeros(0, np.int64)
+        _, offsets, data = stored.take(pa.array(order)).buffers()
+        ends = np.frombuffer(offsets, np.int64, len(order) + 1)[starts + np.arange(n + 1)] // 4
+        out = np.frombuffer(data, np.uint32, int(ends[-1])) if n else np.zeros(0, np.uint32)
+        counts = np.diff(ends)
         odd = np.zeros(n, bool)
         for token in self.special:
             odd |= pc.match_substring(lower, token, ignore_case=True).to_numpy(zero_copy_only=False)
