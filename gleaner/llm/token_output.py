@@ -41,7 +41,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Bytes of a row group and of a page, and rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 500
 #: Pieces and words that a task keeps.
-KEPT = 250_000
+KEPT = 100_000
 
 #: The normalizer and the pre-tokenizer of files whose texts may be cut at white space.
 SPLITS_WORDS = (
@@ -68,8 +68,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        rules = json.loads(self.tokenizer.to_str())
-        self.by_pieces = (rules["normalizer"], rules["pre_tokenizer"]) == SPLITS_WORDS and rules["model"].get("dropout") is None
+        rules = tuple(json.loads(part.__getstate__()) if part else None for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        self.by_pieces = rules == SPLITS_WORDS and getattr(self.model, "dropout", None) is None
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
@@ -111,8 +111,12 @@ class Encoder:
             ids = [np.array([*x, END_ID], np.uint32) for x in found]
             return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
         lower = pc.ascii_lower(texts)
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= pc.match_substring(lower, token, ignore_case=True).to_numpy(zero_copy_only=False)
         flat, starts = split_words(pc.ascii_trim_whitespace(lower))
         coded = flat.dictionary_encode()
+        del lower, flat  # a slice's copies are let go as soon as may be: workers share the executor's memory
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.pieces) > KEPT:  # what this slice has too is likely to come again
             self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
@@ -127,15 +131,15 @@ class Encoder:
         stored = pa.array([*found, np.uint32(END_ID).tobytes()], pa.large_binary())
         # after the last piece of each text comes the end: piece number len(pieces), one id long
         n = len(starts) - 1
-        order = np.full(len(flat) + n, len(pieces), np.int32)
-        order[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(starts))] = coded.indices.to_numpy()
+        place = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
+        place += np.arange(len(place), dtype=np.int32)
+        order = np.full(len(place) + n, len(pieces), np.int32)
+        order[place] = coded.indices.to_numpy()
+        del coded, found, pieces, place
         _, offsets, data = stored.take(pa.array(order)).buffers()
         ends = np.frombuffer(offsets, np.int64, len(order) + 1)[starts + np.arange(n + 1)] // 4
         out = np.frombuffer(data, np.uint32, int(ends[-1])) if n else np.zeros(0, np.uint32)
         counts = np.diff(ends)
-        odd = np.zeros(n, bool)
-        for token in self.special:
-            odd |= pc.match_substring(lower, token, ignore_case=True).to_numpy(zero_copy_only=False)
         if odd.any():  # a special token's string is matched in the text as it stands
             cut = np.split(out, np.cumsum(counts)[:-1])
             for i in np.flatnonzero(odd):
