@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import TINY, cosine, doubles
+from gleaner.plans.scratch import bounded
 
 
 def window_drift(df: DataFrame, x: str, order: str, *, baseline: Column, size: int = 100, threshold: float = 2.0, group: list[str] | None = None) -> DataFrame:
@@ -19,7 +20,7 @@ def window_drift(df: DataFrame, x: str, order: str, *, baseline: Column, size: i
     keys = group or []
     base = df.filter(baseline).groupBy(*keys).agg(F.avg(x).alias("base_mean"), F.greatest(F.stddev_pop(x), F.lit(TINY)).alias("base_std"))
     rows = df.filter(~baseline)
-    rows = rows.join(F.broadcast(base), keys) if keys else rows.crossJoin(F.broadcast(base))
+    rows = rows.join(bounded(base), keys) if keys else rows.crossJoin(F.broadcast(base))
     mean = F.avg(x).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - size, 0))
     return rows.withColumn("z", F.abs(mean - F.col("base_mean")) / F.col("base_std")).withColumn("drifting", F.col("z") > threshold).drop("base_mean", "base_std")
 

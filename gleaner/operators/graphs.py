@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import kernels
 from gleaner.operators.edges import symmetric, without_loops
+from gleaner.operators.profile import quantile
 from gleaner.plans.scratch import discard, stash
 from gleaner.session import ship
 
@@ -54,7 +55,7 @@ def isolation(nodes: DataFrame, edges: DataFrame, clusters: DataFrame) -> DataFr
     """(id, isolation): of each node whose out-degree lies above the median, the share of weight that stays in
     its cluster (id, cluster); 1 for the others."""
     deg = degrees(nodes, edges)
-    median = deg.agg(F.percentile("out_w", 0.5).alias("median"))
+    median = quantile(deg, F.col("out_w"), 0.5, "median")
     c = clusters.toDF("c_id", "c")
     inside = edges.join(c, F.col("src") == F.col("c_id")).join(c.toDF("d_id", "d"), F.col("dst") == F.col("d_id")).filter("c = d").groupBy("src").agg(F.sum(F.abs("w")).alias("inside"))
     rows = deg.crossJoin(F.broadcast(median)).join(inside, F.col("id") == F.col("src"), "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.vectors import doubles, relevance
 from gleaner.operators import graphs, kernels
 from gleaner.operators.edges import purified, quadratic_form
+from gleaner.operators.profile import quantile
 from gleaner.operators.ranking import mean_cosine
 from gleaner.session import ship
 
@@ -56,7 +57,7 @@ class Typicality(Term):
 
     def build(self, candidates: DataFrame) -> Part:
         s = F.col(self.score)
-        rows = candidates.crossJoin(F.broadcast(candidates.agg(F.percentile(s, 0.5).alias("median"))))
+        rows = candidates.crossJoin(F.broadcast(quantile(candidates, s, 0.5, "median")))
         away = F.abs(s - F.col("median"))
         rows = rows.crossJoin(F.broadcast(rows.agg(F.max(away).alias("most"))))
         return Part(LINEAR, rows.select("id", (-self.weight * s * (1 - F.when(F.col("most") > 0, away / F.col("most")).otherwise(0.0))).alias("h")))

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _rank_sums(df: DataFrame, x: Column) -> DataFrame:
-    """n, sum and rank-weighted sum of values, without sorting them in one task: values are counted first, and
-    equal values share the ranks they take."""
+def _ranked(df: DataFrame, x: Column) -> DataFrame:
+    """Different values x, how often each is there (c) and how many rows lie below it, without sorting them in
+    one task."""
     counts = df.select(x.alias("x")).filter("x is not null").groupBy("x").agg(F.count("*").alias("c"))
     # cells of near values keep the order; a window runs over the cells, and one inside each cell
     span = counts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -18,11 +18,26 @@ def _rank_sums(df: DataFrame, x: Column) -> DataFrame:
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = cells.groupBy("cell").agg(F.sum("c").alias("in_cell")).select("cell", F.coalesce(F.sum("in_cell").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("cell").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.join(base, "cell").withColumn("below", F.col("base") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    return cells.join(base, "cell").select("x", "c", (F.col("base") + F.coalesce(F.sum("c").over(inside), F.lit(0))).alias("below"))
+
+
+def _rank_sums(df: DataFrame, x: Column) -> DataFrame:
+    """n, sum and rank-weighted sum of values; equal values share the ranks they take."""
+    ranked = _ranked(df, x)
     ranks = F.col("c") * F.col("below") + F.col("c") * (F.col("c") + 1) / 2
     return ranked.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("x")).alias("total"), F.sum(ranks * F.col("x")).alias("weighted"))
 
 
+def quantile(df: DataFrame, x: Column, q: float, name: str = "value") -> DataFrame:
+    """One row: the value at the share q of the order, between its two neighbours by distance; null without values."""
+    x = x.cast("double")
+    place = df.agg(((F.count(x) - 1) * F.lit(float(q))).alias("place"))
+    rows = _ranked(df, x).crossJoin(F.broadcast(place))
+    at = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("c")), F.col("x")))
+    found = rows.agg(at(F.floor("place")).alias("lower"), at(F.ceil("place")).alias("upper"), F.max(F.col("place") - F.floor("place")).alias("part"))
+    return found.select(F.when(F.col("lower") == F.col("upper"), F.col("lower")).otherwise(F.col("lower") * (1 - F.col("part")) + F.col("upper") * F.col("part")).alias(name))
+
+
 def gini(df: DataFrame, x: Column) -> DataFrame:
     n, total = F.col("n"), F.col("total")
     value = 2 * F.col("weighted") / (n * total) - (n + 1) / n

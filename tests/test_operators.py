@@ -37,6 +37,14 @@ def test_profile_of_equal_and_unequal_values(spark):
     assert abs(gini - (2 * sum((i + 1) * v for i, v in enumerate(sorted(values))) / (n * sum(values)) - (n + 1) / n)) < 1e-9
 
 
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0, 2.5, 1e9], [7.0] * 4, [float(x) for x in np.random.default_rng(3).normal(size=301)]])
+def test_quantiles(spark, values):
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        assert abs(profile.quantile(rows, F.col("x"), q).first()["value"] - np.quantile(values, q)) < 1e-9 * max(1, *map(abs, values))
+    assert profile.quantile(rows.filter("x is null"), F.col("x"), 0.5).first()["value"] is None
+
+
 def test_equal_scores_are_normal(spark):
     rows = spark.createDataFrame([(1, 0.5), (2, 0.5)], "id long, score double")
     assert {r["tier"] for r in profile.tiers(rows, "score").collect()} == {"normal"}
