@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.plans.scratch import bounded, stash
+
 
 def count_min(df: DataFrame, key: str, *, width: int = 2048, depth: int = 5, seed: int = 7) -> DataFrame:
     """One row: the table of a count-min sketch as (cells map). Rows of a table are hashed natively, so partial
@@ -18,10 +20,14 @@ def count_min(df: DataFrame, key: str, *, width: int = 2048, depth: int = 5, see
 
 
 def estimates(keys: DataFrame, key: str, sketch: DataFrame, *, width: int = 2048, depth: int = 5, seed: int = 7) -> DataFrame:
-    """keys with estimate: never less than the true count."""
+    """keys with estimate: never less than the true count. Cells are joined by hash: a map is searched from its start."""
     at = lambda r: F.pmod(F.xxhash64(F.lit(seed), F.lit(r), F.col(key)), F.lit(width)) + r * width
-    least = F.least(*[F.coalesce(F.try_element_at("gleaner_cells", at(r)), F.lit(0)) for r in range(depth)])
-    return keys.crossJoin(F.broadcast(sketch.select(F.col("cells").alias("gleaner_cells")))).withColumn("estimate", least).drop("gleaner_cells")
+    rows, found = keys, [f"gleaner_n{r}" for r in range(depth)]
+    for r, n in enumerate(found):
+        cells = sketch.select(F.explode("cells").alias("gleaner_cell", n))
+        rows = rows.join(F.broadcast(cells), at(r) == F.col("gleaner_cell"), "left").drop("gleaner_cell")
+    least = [F.coalesce(n, F.lit(0)) for n in found]
+    return rows.withColumn("estimate", F.least(*least) if depth > 1 else least[0]).drop(*found)
 
 
 def merged(*stored: DataFrame) -> DataFrame:
@@ -32,9 +38,27 @@ def merged(*stored: DataFrame) -> DataFrame:
 
 def frequencies(keys: DataFrame, key: str, sketch: DataFrame, **options) -> DataFrame:
     """keys with estimate and frequency, the estimate over the number of rows that were counted."""
-    depth = options.get("depth", 5)
+    return _over_all(estimates(keys, key, sketch, **options), sketch, options.get("depth", 5))
+
+
+def exact_frequencies(df: DataFrame, key: str, sketch: DataFrame, **options) -> DataFrame:
+    """Every different key of df with estimate and frequency, which are exact; the sketch was made of df's rows.
+
+    A key with a cell of its own, as a sketch of the different keys tells, is read from the sketch. Those that
+    share each of their cells, which are many when there are more keys than the width, are counted in df.
+    """
+    keys = df.select(key).distinct()
+    sharing = estimates(keys, key, count_min(keys, key, **options), **options).withColumnRenamed("estimate", "gleaner_keys")
+    rows = stash(estimates(sharing, key, sketch, **options), "estimates")
+    shared = bounded(rows.filter("gleaner_keys > 1").select(F.col(key).alias("gleaner_key")))
+    counted = df.select(key).join(shared, F.col(key).eqNullSafe(F.col("gleaner_key")), "left_semi").groupBy(key).agg(F.count("*").alias("estimate"))
+    return _over_all(rows.filter("gleaner_keys = 1").select(key, "estimate").unionByName(counted), sketch, options.get("depth", 5))
+
+
+def _over_all(rows: DataFrame, sketch: DataFrame, depth: int) -> DataFrame:
+    """rows with frequency, their estimate over all that the sketch counted."""
     total = sketch.select((F.aggregate(F.map_values("cells"), F.lit(0).cast("long"), lambda a, n: a + n) / depth).alias("gleaner_total"))
-    rows = estimates(keys, key, sketch, **options).crossJoin(F.broadcast(total))
+    rows = rows.crossJoin(F.broadcast(total))
     return rows.withColumn("frequency", F.when(F.col("gleaner_total") > 0, F.col("estimate") / F.col("gleaner_total")).otherwise(0.0)).drop("gleaner_total")
 
 

@@ -377,3 +377,12 @@ def test_files_and_handlers(spark, tmp_path):
     assert done["result"] == str(2 * done["id"])
     with pytest.raises(ValueError):
         select.solved(rows.select("id", "x"), "x", 1, alpha=-1.0)
+
+
+def test_frequencies_are_exact_where_keys_share_all_cells(spark):
+    rows = spark.range(900).select(F.when(F.col("id") % 9 > 0, F.col("id") % 97).alias("k"))
+    want = {r["k"]: (r["n"], r["n"] / 900) for r in rows.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    for width in (4, 64, 4096):
+        sketch = sketches.merged(*[sketches.count_min(rows.filter(F.hash("k") % 2 == half), "k", width=width, depth=2) for half in (0, 1, -1)])
+        got = sketches.exact_frequencies(rows, "k", sketch, width=width, depth=2).collect()
+        assert len(got) == len(want) and {r["k"]: (r["estimate"], r["frequency"]) for r in got} == want
