@@ -103,11 +103,13 @@ def best_method(history: DataFrame, last: int = 20, least: int = 3) -> DataFrame
     return recent.agg(F.min(F.struct((-F.col("mean")).alias("mean"), "method")).alias("best"), F.sum("n").alias("n")).filter(F.col("n") >= least).select(F.col("best.method").alias("method"), (-F.col("best.mean")).alias("confidence"))
 
 
-def tiers(df: DataFrame, score: str, threshold: float = 0.7) -> DataFrame:
-    """Add tier: critical, normal or background, by the score between the least and the greatest of all."""
+def tiers(df: DataFrame, score: str, threshold: float = 0.7, *, flat: float = 1e-12, equal: str = "normal") -> DataFrame:
+    """Add tier: critical, normal or background, by the score between the least and the greatest of all; equal if
+    all are the same, or less than flat apart."""
     span = df.agg(F.min(score).alias("gleaner_lo"), F.max(score).alias("gleaner_hi"))
     place = (F.col(score) - F.col("gleaner_lo")) / (F.col("gleaner_hi") - F.col("gleaner_lo"))
-    tier = F.when(F.col("gleaner_hi") - F.col("gleaner_lo") < 1e-12, "normal").when(place >= threshold, "critical").when(place >= threshold / 2, "normal").otherwise("background")
+    same = (F.col("gleaner_hi") == F.col("gleaner_lo")) | (F.col("gleaner_hi") - F.col("gleaner_lo") < flat)
+    tier = F.when(same, equal).when(place >= threshold, "critical").when(place >= threshold / 2, "normal").otherwise("background")
     return df.crossJoin(F.broadcast(span)).withColumn("tier", tier).drop("gleaner_lo", "gleaner_hi")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import rules, text, vectors
 from gleaner.operators import drift, edges, graphs, memory, objective, profile, ranking, retrieval, sketches, surprise
-from gleaner.plans import select
+from gleaner.plans import queries, select
 from gleaner.sources import arrays, records
 from gleaner.streaming import scoring
 
@@ -386,3 +386,14 @@ def test_frequencies_are_exact_where_keys_share_all_cells(spark):
         sketch = sketches.merged(*[sketches.count_min(rows.filter(F.hash("k") % 2 == half), "k", width=width, depth=2) for half in (0, 1, -1)])
         got = sketches.exact_frequencies(rows, "k", sketch, width=width, depth=2).collect()
         assert len(got) == len(want) and {r["k"]: (r["estimate"], r["frequency"]) for r in got} == want
+
+
+@pytest.fixture
+def equal_prices(spark, tmp_path):
+    """A folder with parts of which the 60 dearest cost the same."""
+    spark.range(0, 100, 1, 2).select(F.col("id").alias("p_partkey"), F.when(F.col("id") % 10 < 7, 99.5).otherwise(F.col("id") / 4).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_tier_counts_of_equal_prices(spark, equal_prices):
+    assert [tuple(r) for r in queries.QUERIES["tier_counts"](spark, equal_prices).collect()] == [("critical", 60)]
