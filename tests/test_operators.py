@@ -401,3 +401,7 @@ def test_tier_counts_of_equal_prices(spark, equal_prices):
 
 def test_tiered_selection_of_equal_prices(spark, equal_prices):
     assert {(r["score"], r["tier"]) for r in queries.QUERIES["tiered_selection"](spark, equal_prices).collect()} == {(99.5, "critical")}
+
+
+def test_handled_selection_of_equal_prices(spark, equal_prices):
+    assert {(r["tier"], r["result"] == f"keep {r['id']}") for r in queries.QUERIES["handled_selection"](spark, equal_prices).collect()} == {("critical", True)}
