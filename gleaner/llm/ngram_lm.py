@@ -23,7 +23,8 @@ arrays are written:
 4. what a range of pairs knows about words (what follows or precedes) goes to ranges of ids, where it is added
    up in dense arrays.
 
-Followers of a context meet in one task after each task has counted its own: no more than the vocabulary.
+Followers of a context meet in one task after each task has counted its own: no more than the vocabulary. Each
+range has a partition of its own, and keys are sorted part by part, so that a task holds little beside one range.
 
 The arrays are files in the shared folder; small numbers take a byte, with the few large ones beside. Workers
 map them into memory and bisect: a slice of texts is looked up in sorted order. The driver holds the totals of
@@ -38,6 +39,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +47,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import crc_mod, frugal, mix64, scratch_path, shared_array, shared_write, shuffles_removed, slices, words_of
+from gleaner.llm.common import crc_mod, frugal, frugal_group, mix64, scratch_path, shared_array, shared_write, shuffles_removed, slices, words_of
 from gleaner.session import ship
 
 #: The end of a text, as a word: hashes of words are made odd, so that no word is taken for it.
 END = np.uint64(0)
 MAX_RANGES = 8192
 #: Different words, or trigrams, that a task holds before it passes them on.
-HELD_WORDS, HELD = 6_000_000, 4_500_000
+HELD_WORDS, HELD = 3_000_000, 4_500_000
+#: Parts that the keys of a task or of a range are sorted in, one after the other: sorting takes several times the
+#: room of what it sorts, and an executor's workers have little beside its JVM.
+PARTS = 8
 #: Contexts that share a stored place of their first follower.
 BLOCK = 32
 _LOW = np.uint64(0xFFFFFFFF)
@@ -112,24 +117,51 @@ def _bounds(ranges: int) -> np.ndarray:
     return np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
 
 
+def _spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of ints."""
+    turned = lambda h, n: h << np.uint32(n) | h >> np.uint32(32 - n)
+    h = turned(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turned(h ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32)
+
+
+@lru_cache
+def _slots(ranges: int) -> np.ndarray:
+    """For each range a number that Spark deals to the partition of the range's own number; modulo ranges it is
+    the range. Dealt by their own numbers, several ranges would meet in the memory of one task."""
+    slots, open_ = np.arange(ranges), np.arange(ranges)
+    while len(open_):
+        fits = _spark_hash(slots[open_]) % ranges == open_
+        open_ = open_[~fits]
+        slots[open_] += ranges
+    return slots
+
+
+def _by_range(df: DataFrame, ranges: int):
+    return df.repartition(ranges, "range").groupBy("range")
+
+
 _PACKED = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+def _dealt(keys: np.ndarray, counts: np.ndarray, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    ranges = len(slots)
     cuts = np.append(np.searchsorted(keys, _bounds(ranges)), len(keys))
     for k in range(ranges):
         if cuts[k] < cuts[k + 1]:
             part = slice(cuts[k], cuts[k + 1])
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([_pack(keys[part])], pa.binary()), pa.array([counts[part].astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()], pa.binary())], schema=_PACKED)
+            yield pa.record_batch([pa.array([slots[k]], pa.int32()), pa.array([_pack(keys[part])], pa.binary()), pa.array([counts[part].astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()], pa.binary())], schema=_PACKED)
 
 
 def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [_unpack(x) for x in table.column("keys").to_pylist()]
-    counts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in table.column("counts").to_pylist()]
-    return _merged(np.concatenate(keys), np.concatenate(counts))
+    keys = np.concatenate([_unpack(x.as_buffer()) for x in table.column("keys")])
+    counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in table.column("counts")])
+    return _merged(keys, counts)
 
 
-def _count_words(ranges: int):
+def _count_words(slots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held, texts = [], [], 0, 0
         for batch in batches:
@@ -143,20 +175,20 @@ def _count_words(ranges: int):
                     merged = _merged(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, held = [merged[0]], [merged[1]], len(merged[0])
                     if held > HELD_WORDS // 2:
-                        yield from _dealt(*merged, ranges)
+                        yield from _dealt(*merged, slots)
                         keys, counts, held = [], [], 0
         keys.append(np.array([END], np.uint64))
         counts.append(np.array([texts], np.int64))
         if texts:
-            yield from _dealt(*_merged(np.concatenate(keys), np.concatenate(counts)), ranges)
+            yield from _dealt(*_merged(np.concatenate(keys), np.concatenate(counts)), slots)
 
     return run
 
 
-def _write_words(folder: str):
+def _write_words(folder: str, ranges: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         keys, counts = _joined(table)
-        k = key[0].as_py()
+        k = key[0].as_py() % ranges
         shared_write(folder, f"word-{k}", keys)
         shared_write(folder, f"count-{k}", _small(counts))
         ends = int(counts[0]) if len(keys) and keys[0] == END else 0
@@ -179,6 +211,10 @@ class Words:
     def size(self) -> int:
         return self.first[-1]
 
+    @property
+    def slots(self) -> np.ndarray:
+        return _slots(self.ranges)
+
     @property
     def step(self) -> int:
         """Ids of a range of ids; the begin has one too."""
@@ -252,22 +288,25 @@ def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+def _numbers(data: bytes, part: slice = slice(None)) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1)[:, part].T).view(np.uint32).ravel()
 
 
 def _count_triples(words: Words):
     """Trigrams of texts, dealt by context; beyond stands after the end, so that every pair is a context."""
-    begin, beyond = words.size, words.size + 1
+    begin, beyond, slots, bounds = words.size, words.size + 1, words.slots, _bounds(words.ranges)
 
     def dealt(contexts: list, followers: list) -> Iterator[pa.RecordBatch]:
-        keys, sizes, after, counts = _grouped(np.concatenate(contexts), np.concatenate(followers))
-        cuts = np.append(np.searchsorted(keys, _bounds(words.ranges)), len(keys))
-        inner = np.concatenate(([0], np.cumsum(sizes)))[cuts]
-        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            own, its = slice(cuts[k], cuts[k + 1]), slice(inner[k], inner[k + 1])
-            row = [[k], [_pack(keys[own])], [_planes(sizes[own])], [_planes(after[its])], [_planes(counts[its])]]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(row, _TRIPLES.types, strict=True)], schema=_TRIPLES)
+        for part in np.array_split(np.arange(words.ranges), min(PARTS, words.ranges)):
+            last = int(part[-1]) + 1
+            inside = [(c >= bounds[part[0]]) & (c < bounds[last]) if last < words.ranges else c >= bounds[part[0]] for c in contexts]
+            keys, sizes, after, counts = _grouped(*(np.concatenate([x[i] for x, i in zip(column, inside, strict=True)]) for column in (contexts, followers)))
+            cuts = np.append(np.searchsorted(keys, bounds[part]), len(keys))
+            inner = np.concatenate(([0], np.cumsum(sizes)))[cuts]
+            for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                own, its = slice(cuts[k], cuts[k + 1]), slice(inner[k], inner[k + 1])
+                row = [[slots[part[k]]], [_pack(keys[own])], [_planes(sizes[own])], [_planes(after[its])], [_planes(counts[its])]]
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(row, _TRIPLES.types, strict=True)], schema=_TRIPLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, followers, n = [], [], 0
@@ -295,11 +334,21 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix64(first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64))
 
 
-def _write_small(folder: str, name: str, values: np.ndarray) -> None:
-    """Numbers as bytes; where the byte is 255, the number is in a second array, by place."""
-    large = np.flatnonzero(values.ravel() >= 255)
-    shared_write(folder, name, np.minimum(values, 255).astype(np.uint8))
-    shared_write(folder, f"{name}-large", np.stack([large, values.ravel()[large]]).astype(np.int64))
+def _as_small(values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Numbers as bytes; where the byte is 255, the number beside, with its row and place."""
+    values = np.atleast_2d(values)
+    row, at = np.nonzero(values >= 255)
+    return np.minimum(values, 255).astype(np.uint8), row, at, values[row, at]
+
+
+def _write_small(folder: str, name: str, parts: list[tuple[np.ndarray, ...]]) -> None:
+    """Write parts of numbers, which follow each other, as one array of bytes, and the large ones by place."""
+    data = np.concatenate([x[0] for x in parts], axis=1)
+    begins = np.cumsum([0, *(x[0].shape[1] for x in parts)])[:-1]
+    places = np.concatenate([row * data.shape[1] + at + begin for (_, row, at, _), begin in zip(parts, begins, strict=True)])
+    order = np.argsort(places)
+    shared_write(folder, name, data if len(data) > 1 else data[0])
+    shared_write(folder, f"{name}-large", np.stack([places, np.concatenate([x[3] for x in parts])])[:, order].astype(np.int64))
 
 
 def _read_small(folder: str, name: str, at: np.ndarray, row: int = 0) -> np.ndarray:
@@ -323,20 +372,34 @@ def _write_triples(words: Words):
     """Write a range of contexts with their followers; return its counts of counts."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        k, folder = key[0].as_py(), words.folder
-        columns = [table.column(c).to_pylist() for c in ("keys", "sizes", "followers", "counts")]
-        contexts = [np.repeat(_unpack(keys), _numbers(sizes)) for keys, sizes in zip(*columns[:2], strict=True)]
-        followers, counts = ([_numbers(x) for x in column] for column in columns[2:])
-        del table, columns
-        keys, sizes, after, counts = _grouped(np.concatenate(contexts), np.concatenate(followers), np.concatenate(counts).astype(np.int64))
-        first = np.cumsum(sizes) - sizes
-        shared_write(folder, f"pair-{k}", keys)
-        _write_small(folder, f"context-{k}", np.stack([sizes, *(np.add.reduceat(x, first) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64)))]))
-        shared_write(folder, f"first-{k}", first[::BLOCK])
-        shared_write(folder, f"after-{k}", after)
-        _write_small(folder, f"times-{k}", counts)
-        real = counts[after <= words.size]
-        return pa.table({"range": pa.array([k], pa.int32())} | {f"k{c}": [int((real == c).sum())] for c in (1, 2, 3, 4)})
+        k, folder = key[0].as_py() % words.ranges, words.folder
+        columns = [[x.as_buffer() for x in table.column(c)] for c in ("keys", "sizes", "followers", "counts")]
+        bounds = np.array([((k * PARTS + part) << 64) // (words.ranges * PARTS) for part in range(1, PARTS)], np.uint64)
+        rows = []  # of each task: its contexts, and where the parts begin among these and their followers
+        for keys, sizes in zip(*columns[:2], strict=True):
+            keys = _unpack(keys)
+            cuts = np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
+            rows.append((keys, cuts, np.concatenate(([0], np.cumsum(_numbers(sizes), dtype=np.int64)))[cuts]))
+        out, begin, n, totals = [], 0, 0, np.zeros(4, np.int64)
+        for part in range(PARTS):
+            own = [(slice(cuts[part], cuts[part + 1]), slice(inner[part], inner[part + 1])) for _, cuts, inner in rows]
+            picked = lambda column, i: np.concatenate([_numbers(x, its[i]) for x, its in zip(columns[column], own, strict=True)])
+            contexts = np.repeat(np.concatenate([keys[its[0]] for (keys, _, _), its in zip(rows, own, strict=True)]), picked(1, 0))
+            if not len(contexts):
+                continue
+            keys, sizes, after, counts = _grouped(contexts, picked(2, 1), picked(3, 1).astype(np.int64))
+            first = np.cumsum(sizes) - sizes
+            about = np.stack([sizes, *(np.add.reduceat(x, first) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64)))])
+            out.append((keys, _as_small(about), first[-n % BLOCK :: BLOCK] + begin, after, _as_small(counts)))
+            begin, n = begin + len(after), n + len(keys)
+            real = counts[after <= words.size]
+            totals += [(real == c).sum() for c in (1, 2, 3, 4)]
+        keys, about, first, after, counts = zip(*out, strict=True)
+        for name, arrays in (("pair", keys), ("first", first), ("after", after)):
+            shared_write(folder, f"{name}-{k}", np.concatenate(arrays))
+        _write_small(folder, f"context-{k}", list(about))
+        _write_small(folder, f"times-{k}", list(counts))
+        return pa.table({"range": pa.array([k], pa.int32())} | {f"k{c}": [int(x)] for c, x in enumerate(totals, 1)})
 
     return run
 
@@ -344,16 +407,25 @@ def _write_triples(words: Words):
 def _continued(words: Words):
     """The pairs (v, w) of a range's trigrams and how many different words come before, dealt by their own key."""
 
+    slots = words.slots
+
+    def pairs(k: int, keys: np.ndarray) -> np.ndarray:
+        after = shared_array(words.folder, f"after-{k}")
+        real = after <= words.size
+        second = after[real]
+        first = np.repeat((unmix64(keys) & _LOW).astype(np.uint32), _read_small(words.folder, f"context-{k}", np.arange(len(keys)), SIZE))[real]
+        mixed = np.empty(len(first), np.uint64)
+        for at in range(0, len(first), 1 << 18):
+            mixed[at : at + (1 << 18)] = _pair(first[at : at + (1 << 18)], second[at : at + (1 << 18)])
+        return mixed
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column("id").to_pylist():
                 keys = shared_array(words.folder, f"pair-{k}")
                 if keys is None:
                     continue
-                sizes = _read_small(words.folder, f"context-{k}", np.arange(len(keys)), SIZE)
-                after = shared_array(words.folder, f"after-{k}")
-                real = after <= words.size
-                yield from _dealt(*_counted(_pair(np.repeat(unmix64(keys) & _LOW, sizes)[real], after[real])), words.ranges)
+                yield from _dealt(*_counted(pairs(k, keys)), slots)
 
     return run
 
@@ -365,22 +437,26 @@ NUMBERS = 5
 
 def _write_continued(words: Words):
     """Write k(v w) beside a range's contexts; return, for ranges of ids, what the range knows of words."""
+    slots = words.slots
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         mixed, counts = _joined(table)
-        k = key[0].as_py()
+        k = key[0].as_py() % words.ranges
         known = np.zeros(len(shared_array(words.folder, f"pair-{k}")), np.int64)
         known[np.searchsorted(shared_array(words.folder, f"pair-{k}"), mixed)] = counts
-        _write_small(words.folder, f"continued-{k}", known)
+        _write_small(words.folder, f"continued-{k}", [_as_small(known)])
+        del known
         pairs = unmix64(mixed)
-        first, second = (pairs >> np.uint64(32)).astype(np.int64), (pairs & _LOW).astype(np.int64)
+        first, second = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & _LOW).astype(np.uint32)
+        del mixed, pairs
         order = np.argsort(first, kind="stable")
-        after, kind = first[order], np.minimum(counts, 3)[order]
+        after, kind = first[order], np.minimum(counts, 3).astype(np.uint8)[order]
         at = np.flatnonzero(np.concatenate(([True], after[1:] != after[:-1])))
         followed = [np.add.reduceat(x, at) for x in (*((kind == c).astype(np.int64) for c in (1, 2, 3)), counts[order])]
         target, before = np.unique(second, return_counts=True)
-        ids = np.concatenate((after[at], target))
-        numbers = np.zeros((NUMBERS, len(ids)), np.int64)
+        ids = np.concatenate((after[at], target)).astype(np.int64)
+        del first, second, order, after, kind
+        numbers = np.zeros((NUMBERS, len(ids)), np.uint32)
         numbers[:4, : len(at)], numbers[4, len(at) :] = followed, before
         step = words.step
         order = np.argsort(ids // step, kind="stable")
@@ -391,7 +467,7 @@ def _write_continued(words: Words):
         for r in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             part = slice(cuts[r], cuts[r + 1])
             small = (ids[part] - r * step).astype(np.uint32)
-            rows.append((r, small.tobytes(), numbers[:, part].astype(np.uint32).tobytes(), *(totals if not rows else (0, 0, 0, 0))))
+            rows.append((slots[r], small.tobytes(), numbers[:, part].tobytes(), *(totals if not rows else (0, 0, 0, 0))))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ABOUT.types, strict=True)], schema=_ABOUT)
 
     return run
@@ -401,7 +477,7 @@ def _write_about(words: Words):
     """Add up what all ranges of pairs know about a range of ids."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        r = key[0].as_py()
+        r = key[0].as_py() % words.ranges
         sums = np.zeros((NUMBERS, words.step), np.int64)
         for ids, numbers in zip(table.column("ids").to_pylist(), table.column("numbers").to_pylist(), strict=True):
             where = np.frombuffer(ids, np.uint32)
@@ -520,8 +596,8 @@ def train(docs: DataFrame) -> Model:
     ranges = max(8, min(texts.rdd.getNumPartitions(), MAX_RANGES))
     folder, packed = scratch_path(spark, "ngrams"), "range int, keys binary, counts binary"
     with shuffles_removed(spark):
-        counted = texts.mapInArrow(frugal(_count_words(ranges)), packed).groupBy("range")
-        rows = {r["range"]: r for r in counted.applyInArrow(_write_words(folder), "range int, n long, tokens long, ends long").collect()}  # a row for each range
+        counted = _by_range(texts.mapInArrow(frugal(_count_words(_slots(ranges))), packed), ranges)
+        rows = {r["range"]: r for r in counted.applyInArrow(frugal_group(_write_words(folder, ranges)), "range int, n long, tokens long, ends long").collect()}  # a row for each range
         first = np.concatenate(([0], np.cumsum([rows[k]["n"] if k in rows else 0 for k in range(ranges)]))).tolist()
         words = Words(folder, ranges, first, sum(r["tokens"] for r in rows.values()), sum(r["ends"] for r in rows.values()))
         if words.size >= (1 << 32) - 2:
@@ -530,11 +606,11 @@ def train(docs: DataFrame) -> Model:
             return Model(words)
         ks = [f"k{c}" for c in (1, 2, 3, 4)]
         total = lambda df: df.agg(*[F.sum(c).alias(c) for c in df.columns if c != "range"]).first()
-        triples = texts.mapInArrow(frugal(_count_triples(words)), _TRIPLE_TYPES).groupBy("range")
-        t3 = total(triples.applyInArrow(_write_triples(words), "range int, " + ", ".join(f"{k} long" for k in ks)))
-        pairs = spark.range(0, ranges, 1, ranges).mapInArrow(frugal(_continued(words)), packed).groupBy("range")
-        about = pairs.applyInArrow(_write_continued(words), "range int, ids binary, numbers binary, " + ", ".join(f"{k} long" for k in ks)).groupBy("range")
-        t = total(about.applyInArrow(_write_about(words), ", ".join(f"{c} long" for c in ("total", "t1", "t2", "t3", "t4", "t_more", *ks))))
+        triples = _by_range(texts.mapInArrow(frugal(_count_triples(words)), _TRIPLE_TYPES), ranges)
+        t3 = total(triples.applyInArrow(frugal_group(_write_triples(words)), "range int, " + ", ".join(f"{k} long" for k in ks)))
+        pairs = spark.range(0, ranges, 1, ranges).mapInArrow(frugal(_continued(words)), packed)
+        about = _by_range(pairs, ranges).applyInArrow(frugal_group(_write_continued(words)), "range int, ids binary, numbers binary, " + ", ".join(f"{k} long" for k in ks))
+        t = total(_by_range(about, ranges).applyInArrow(frugal_group(_write_about(words)), ", ".join(f"{c} long" for c in ("total", "t1", "t2", "t3", "t4", "t_more", *ks))))
     by_word = discounts(t["t1"], t["t2"], t["t3"], t["t4"])
     left = (by_word[1] * t["t1"] + by_word[2] * t["t2"] + by_word[3] * t["t_more"]) / t["total"]
     return Model(words, discounts(*[t3[k] for k in ks]), discounts(*[t[k] for k in ks]), by_word, t["total"], left)
@@ -548,7 +624,7 @@ def score(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 500, 2 << 20):  # some 25 arrays of a slice's tokens are held
                 if part.num_rows:
                     scores = model.score(part.column("text"))
                     yield pa.record_batch([*[part.column(n) for n in names], *[pa.array(x) for x in scores.values()]], [*names, *scores])

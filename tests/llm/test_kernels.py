@@ -2,11 +2,15 @@
 
 import random
 import re
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import decontamination, near_duplicates, ngram_lm, token_output
 from gleaner.llm.common import mix64, slices, words_of
@@ -199,3 +203,29 @@ def test_discounts():
 def test_crc_of_ids():
     ids = np.array([1, 49407, 0], np.uint32)
     assert zlib.crc32(ids.tobytes()) == zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def test_ranges_of_the_language_model_meet_in_no_task_and_are_sorted_in_little_room(spark, tmp_path):
+    ids = spark.range(0, 4000, 1, 1).select(F.col("id").cast("int").alias("x"), F.expr("pmod(hash(cast(id as int)), 61)").alias("at")).collect()
+    slots = ngram_lm._slots(61)
+    where = {r["x"]: r["at"] for r in ids}
+    assert (slots % 61 == np.arange(61)).all() and all(where[int(s)] == k for k, s in enumerate(slots) if int(s) in where)
+    assert sum(int(s) in where for s in slots) > 30
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 400) % 5000) for _ in range(1000)]
+    batch, folder, ranges = pa.record_batch({"text": pa.array(texts)}), f"file://{tmp_path}", 2
+    by_range = lambda batches: [(k, (t := pa.Table.from_batches(batches)).filter(pc.equal(t["range"], int(s)))) for k, s in enumerate(ngram_lm._slots(ranges))]
+    write = ngram_lm._write_words(folder, ranges)
+    found = [write((pa.scalar(k),), t) for k, t in by_range(list(ngram_lm._count_words(ngram_lm._slots(ranges))(iter([batch]))))]
+    sizes = [t["n"][0].as_py() for t in found]
+    words = ngram_lm.Words(folder, ranges, [0, sizes[0], sum(sizes)], 401_000, 1000)
+    for k, group in by_range(list(ngram_lm._count_triples(words)(iter([batch])))):
+        tracemalloc.start()
+        ngram_lm._write_triples(words)((pa.scalar(k),), group)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 2.5 * group.nbytes, (most, group.nbytes)
+    plain = Counter(t for x in texts for w in [["<", "<", *x.split(), ">"]] for t in zip(w, w[1:], w[2:], strict=False))
+    after = [ngram_lm.shared_array(folder, f"after-{k}") for k in range(ranges)]
+    counts = np.concatenate([ngram_lm._read_small(folder, f"times-{k}", np.flatnonzero(a <= words.size)) for k, a in enumerate(after)])
+    assert sorted(counts.tolist()) == sorted(plain.values())
